@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, html_text, language
+from . import audio, bpe, html_text, jaccard_join, language
 from ._common import table
 
 
@@ -23,6 +23,11 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 4-word shingle sets have a Jaccard similarity of 0.85 or more."""
+    return jaccard_join.components_by_jaccard(table(spark, sf_dir, "documents"), words=4, num=85, den=100)
+
+
 def op8_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document stored as 8-bit audio, read back, and its features digested into one string."""
     media = audio.media_columns(table(spark, sf_dir, "documents"), media=False)
@@ -41,8 +46,28 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_html_extraction": op3_html_extraction,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_audio_features": op8_audio_features,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+_OP7 = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x20\x09-\x0D]+'), w -> w <> '') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN w IS NULL OR len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i+3], ' '))) END AS s
+  FROM words),
+rows_ AS (SELECT doc_id, unnest(s) AS g FROM sets),
+both_ AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM rows_ a JOIN rows_ b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT x, y FROM both_ JOIN sets a ON a.doc_id = x JOIN sets b ON b.doc_id = y
+  WHERE 100 * n >= 85 * (len(a.s) + len(b.s) - n)),
+reach(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, r.c AS component_id
+FROM sets s JOIN (SELECT x, min(y) AS c FROM reach GROUP BY x) r ON r.x = s.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op7_jaccard_join": _OP7}
