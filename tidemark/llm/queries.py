@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, html_text, jaccard_join, language
+from . import audio, bpe, exact_substrings, html_text, jaccard_join, language
 from ._common import table
 
 
@@ -23,6 +23,11 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op5_exact_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every byte under a 50-byte string of an earlier document removed."""
+    return exact_substrings.remove_repeats(table(spark, sf_dir, "documents"), text=False)
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 4-word shingle sets have a Jaccard similarity of 0.85 or more."""
     return jaccard_join.components_by_jaccard(table(spark, sf_dir, "documents"), words=4, num=85, den=100)
@@ -46,6 +51,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_html_extraction": op3_html_extraction,
+    "op5_exact_substrings": op5_exact_substrings,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_audio_features": op8_audio_features,
     "op10_byte_bpe": op10_byte_bpe,
@@ -70,4 +76,17 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, r.c AS component_id
 FROM sets s JOIN (SELECT x, min(y) AS c FROM reach GROUP BY x) r ON r.x = s.doc_id
 """
 
-ORACLES: dict[str, str] = {"op7_jaccard_join": _OP7}
+_OP5 = """
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, CAST(2 * i + 1 AS BIGINT), 100) AS s FROM b, unnest(range(len(h) // 2)) AS u(i)),
+f AS (SELECT doc_id, i, substr(s, 1, 2) AS c, CASE WHEN len(s) = 100 AND min(doc_id) OVER (PARTITION BY s) < doc_id THEN 1 ELSE 0 END AS hit FROM w),
+g AS (SELECT doc_id, i, c, max(hit) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM f),
+r AS (SELECT *, lag(gone, 1, 0) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM g),
+t AS (SELECT doc_id, sum(gone) AS gone, sum(CASE WHEN gone = 1 AND before = 0 THEN 1 ELSE 0 END) AS spans,
+             string_agg(c, '' ORDER BY i) FILTER (WHERE gone = 0) AS kept FROM r GROUP BY doc_id)
+SELECT b.doc_id, CAST(len(b.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(t.gone, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(t.spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(t.kept, ''))) AS kept_sha256
+FROM b LEFT JOIN t USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op5_exact_substrings": _OP5, "op7_jaccard_join": _OP7}
