@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, exact_substrings, html_text, jaccard_join, language
+from . import audio, bpe, exact_substrings, fuzzy_lines, html_text, jaccard_join, language
 from ._common import table
 
 
@@ -28,6 +28,11 @@ def op5_exact_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_substrings.remove_repeats(table(spark, sf_dir, "documents"), text=False)
 
 
+def op6_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that repeat, up to a fifth of the words, an earlier one."""
+    return fuzzy_lines.dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 4-word shingle sets have a Jaccard similarity of 0.85 or more."""
     return jaccard_join.components_by_jaccard(table(spark, sf_dir, "documents"), words=4, num=85, den=100)
@@ -52,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_html_extraction": op3_html_extraction,
     "op5_exact_substrings": op5_exact_substrings,
+    "op6_fuzzy_lines": op6_fuzzy_lines,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_audio_features": op8_audio_features,
     "op10_byte_bpe": op10_byte_bpe,
