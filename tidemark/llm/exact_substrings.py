@@ -4,11 +4,11 @@ A suffix array would bring equal strings next to each other; here the suffixes a
 machine needs the corpus:
 
 * Anchors.  Of every window of ``length`` bytes the seed (``seed`` bytes) of least hash is an anchor; equal windows have
-  equal anchors at equal places.  Anchors are a twelfth of all positions, and only those whose seed occurs in several
+  equal anchors at equal places.  Anchors are a sixteenth of all positions, and only those whose seed occurs in several
   documents can lie in a repeat.
 * Suffix sort.  The contexts of equal anchors are sorted by a merge sort whose comparisons use polynomial prefix hashes:
   a binary search over hash equality finds the common extension of two suffixes, and the byte behind it their order.
-  Neighbours that agree over ``length`` bytes by hash are then compared byte by byte, so a collision never counts.
+  What sorted neighbours share is then read off their bytes, so a collision never counts.
 * Every batch of documents is first resolved by itself.  A window that repeats inside the batch is settled there, and
   only its first document goes on, so however many copies there are, a shuffle sees at most one from each batch.
 """
@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +28,8 @@ from ._common import map_batches, partitions, saved, small_batches, text_key
 from .shingles import mix, powers, prefix_hash
 
 #: Bytes of text resolved together before the first shuffle, and positions hashed at a time.
-BATCH_BYTES, CHUNK = 8 << 20, 1 << 19
-#: Contexts expanded to windows at a time.
+BATCH_BYTES, CHUNK = 4 << 20, 1 << 18
+#: Distinct contexts sorted at a time.
 CLASSES = 20_000
 LAST = (1 << 63) - 1
 
@@ -65,13 +66,23 @@ def anchors(data: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, np.nd
 def contexts(data: np.ndarray, at: np.ndarray, start: np.ndarray, end: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The bytes that windows over each anchor can cover, within its document [start, end): matrix and valid columns."""
     before, width = length - seed, 2 * length - seed
-    cols = at[:, None] - before + np.arange(width)
     lo, hi = np.maximum(0, start - at + before), np.minimum(width, end - at + before)
-    ctx = data[np.clip(cols, 0, len(data) - 1)]
-    ctx[(np.arange(width) < lo[:, None]) | (np.arange(width) >= hi[:, None])] = 0
+    ctx, place = np.zeros((len(at), width), np.uint8), np.arange(width)
+    for x in range(0, len(at), 8192):
+        part = slice(x, x + 8192)
+        cols = at[part, None] - before + place
+        inside = (place >= lo[part, None]) & (place < hi[part, None])
+        ctx[part] = np.where(inside, data[np.clip(cols, 0, len(data) - 1)], 0)
     return ctx, lo, hi
 
 
+def row_hashes(ctx: np.ndarray) -> np.ndarray:
+    """Mixed polynomial hash of each row of bytes, some rows at a time."""
+    up, _ = powers(ctx.shape[1])
+    parts = [mix((ctx[x : x + 32768].astype(np.uint64) + np.uint64(1)) @ up[: ctx.shape[1]]) for x in range(0, len(ctx), 32768)]
+    return np.concatenate([np.zeros(0, np.uint64), *parts])
+
+
 def _less(p: np.ndarray, ctx: np.ndarray, a: np.ndarray, b: np.ndarray, col: np.ndarray, length: int, or_equal: np.ndarray) -> np.ndarray:
     """Whether suffix a precedes suffix b (rows of ctx, both from column col), by the length of their common extension."""
     low, high = np.zeros(len(a), np.int64), np.full(len(a), length)
@@ -85,13 +96,13 @@ def _less(p: np.ndarray, ctx: np.ndarray, a: np.ndarray, b: np.ndarray, col: np.
     return np.where(low >= length, or_equal, ctx[a, col + end] < ctx[b, col + end])
 
 
-def suffix_sort(p: np.ndarray, ctx: np.ndarray, row: np.ndarray, col: np.ndarray, group: np.ndarray, length: int) -> np.ndarray:
-    """Order of the suffixes (row, col) within each group: bottom-up merge sort, all merges of a level at once.
+def suffix_sort(p: np.ndarray, ctx: np.ndarray, col: np.ndarray, group: np.ndarray, length: int) -> np.ndarray:
+    """Order of the suffixes from ``col`` of each row within each group: merge sort, all merges of a level at once.
 
-    ``group`` must be sorted, and the suffixes of a group start in one column.  An element's place in a merged run is
-    its place in its own run plus the number of elements before it in the other one, found by binary search.
+    ``group`` must be sorted.  An element's place in a merged run is its place in its own run plus the number of
+    elements before it in the other one, found by binary search.
     """
-    order = np.arange(len(row))
+    order = np.arange(len(ctx))
     first = np.flatnonzero(np.diff(group, prepend=-1))
     size = np.diff(np.append(first, len(group)))
     base, n = np.repeat(first, size), np.repeat(size, size)
@@ -110,7 +121,7 @@ def suffix_sort(p: np.ndarray, ctx: np.ndarray, row: np.ndarray, col: np.ndarray
         while len(todo := np.flatnonzero(low < high)):
             mid = (low[todo] + high[todo]) >> 1
             them = order[mid]
-            before = _less(p, ctx, row[them], row[me[todo]], col[me[todo]], length, ~left[todo])
+            before = _less(p, ctx, them, me[todo], col[me[todo]], length, ~left[todo])
             low[todo] = np.where(before, mid + 1, low[todo])
             high[todo] = np.where(before, high[todo], mid)
         to = base[live] + (mine - (~left)) * run + rank % run + (low - other)
@@ -126,7 +137,7 @@ def earliest(ctx: np.ndarray, lo: np.ndarray, hi: np.ndarray, seeds: np.ndarray,
     if not n:
         return out
     up, _ = powers(width)
-    whole = mix((ctx.astype(np.uint64) + np.uint64(1)) @ up[:width]) + (lo * 1000 + hi).astype(np.uint64)
+    whole = row_hashes(ctx) + (lo * 1000 + hi).astype(np.uint64)
     order = np.lexsort((whole, seeds))
     ctx, lo, hi, seeds, doc, whole = ctx[order], lo[order], hi[order], seeds[order], doc[order], whole[order]
     new = np.ones(n, bool)
@@ -142,64 +153,113 @@ def earliest(ctx: np.ndarray, lo: np.ndarray, hi: np.ndarray, seeds: np.ndarray,
     edges = np.flatnonzero(np.diff(group[several], prepend=-1))
     start = 0
     while start < len(several):
-        stop = edges[np.searchsorted(edges, start + CLASSES)] if start + CLASSES < len(several) and (edges >= start + CLASSES).any() else len(several)
+        later = edges[np.searchsorted(edges, start + CLASSES) :]
+        stop = later[0] if len(later) else len(several)
         c = several[start:stop]
         start = stop
-        rows = head[c]
-        p = np.zeros((len(c), width + 1), np.uint64)
-        np.cumsum((ctx[rows].astype(np.uint64) + np.uint64(1)) * up[:width], axis=1, out=p[:, 1:])
-        col = np.repeat(np.arange(before + 1)[None], len(c), 0)
-        ok = (col >= lo[rows, None]) & (col + length <= hi[rows, None])
-        i, o = np.nonzero(ok)
-        key = (group[c][i] - group[c[0]]) * (before + 1) + o
-        by = np.argsort(key, kind="stable")
-        i, o, key = i[by], o[by], key[by]
-        mine = ctx[rows]
-        s = suffix_sort(p, mine, i, o, key, length)
-        i, o, key = i[s], o[s], key[s]
-        equal = np.zeros(len(i), bool)
-        if len(i) > 1:
-            a, b, k = i[1:], i[:-1], o[1:]
-            maybe = np.flatnonzero((key[1:] == key[:-1]) & (p[a, k + length] - p[a, k] == p[b, k + length] - p[b, k]))
-            for x in range(0, len(maybe), 1 << 17):  # the bytes themselves decide
-                t = maybe[x : x + (1 << 17)]
-                cols = k[t][:, None] + np.arange(length)
-                equal[1 + t] = (mine[a[t][:, None], cols] == mine[b[t][:, None], cols]).all(1)
-        if len(i):
-            runs = np.flatnonzero(~equal)
-            low = np.minimum.reduceat(first_doc[c][i], runs)
-            least[c[i], o] = np.repeat(low, np.diff(np.append(runs, len(i))))
+        mine, p = ctx[head[c]], np.zeros((len(c), width + 1), np.uint64)
+        np.cumsum((mine.astype(np.uint64) + np.uint64(1)) * up[:width], axis=1, out=p[:, 1:])
+        s = suffix_sort(p, mine, np.full(len(c), before), group[c], length)
+        c, mine, p = c[s], mine[s], p[s]
+        low, high, docs_of = lo[head[c]], hi[head[c]], first_doc[c]
+        # Bytes after the seed that sorted neighbours share; -1 between groups or if the seeds only agree by hash.
+        alike = mine[1:, before:] == mine[:-1, before:]
+        shared = np.where(alike.all(1), length, alike.argmin(1)) - seed
+        shared[(group[c][1:] != group[c][:-1]) | (shared < 0)] = -1
+        for o in range(before + 1):  # equal from the seed on: a run of the sort; equal before it: by hash, then by bytes
+            run = np.concatenate([[0], np.cumsum(shared < o)])
+            k = np.flatnonzero((low <= o) & (high >= o + length))
+            left = p[k, before] - p[k, o]
+            by = np.lexsort((left, run[k]))
+            k, left = k[by], left[by]
+            same = (run[k[1:]] == run[k[:-1]]) & (left[1:] == left[:-1])
+            maybe = np.flatnonzero(same)
+            same[maybe] = (mine[k[maybe + 1], o:before] == mine[k[maybe], o:before]).all(1)
+            if same.any():
+                heads = np.flatnonzero(np.concatenate([[True], ~same]))
+                first = np.minimum.reduceat(docs_of[k], heads)
+                least[c[k], o] = np.repeat(first, np.diff(np.append(heads, len(k))))
     cols = np.arange(before + 1)
     inside = (cols >= lo[:, None]) & (cols + length <= hi[:, None])
     out[order] = inside & (least[cls] < doc[:, None])
     return out
 
 
-def _runs(doc: np.ndarray, at: np.ndarray, flags: np.ndarray, length: int, seed: int) -> dict[int, bytes]:
-    """Spans [start, end) of flagged windows by document number, packed as pairs of int64, merged where they meet."""
+def _spans(doc: np.ndarray, at: np.ndarray, flags: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Flagged windows as spans (start, end), merged where they meet: document numbers and pairs."""
     i, o = np.nonzero(flags)
     d, s = doc[i], at[i] - (length - seed) + o
     order = np.lexsort((s, d))
     d, s = d[order], s[order]
-    new = np.ones(len(d), bool)
-    new[1:] = (d[1:] != d[:-1]) | (s[1:] > s[:-1] + length)
-    head = np.flatnonzero(new)
+    if not len(d):
+        return d, np.zeros((0, 2), np.int64)
+    head = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (s[1:] > s[:-1] + length)]))
     last = np.append(head[1:], len(d)) - 1
-    pairs = np.stack([s[head], s[last] + length], 1) if len(d) else np.zeros((0, 2), np.int64)
-    out: dict[int, bytes] = {}
-    edge = np.flatnonzero(np.diff(d[head], prepend=-1)) if len(d) else []
-    for a, b in zip(edge, [*edge[1:], len(head)], strict=True) if len(d) else ():
-        out[int(d[head[a]])] = pairs[a:b].astype(np.int64).tobytes()
+    return d[head], np.stack([s[head], s[last] + length], 1).astype(np.int64)
+
+
+def _pack(did: np.ndarray, key: np.ndarray, values: np.ndarray, buckets: int) -> list[tuple[int, bytes]]:
+    """Values of documents, dealt to buckets of documents: one packed row for each bucket."""
+    bucket = (mix(did.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    out = []
+    for b in range(buckets):
+        t = order[cut[b] : cut[b + 1]]
+        if len(t):
+            out.append((b, np.array([len(t)], np.int64).tobytes() + did[t].tobytes() + key[t].tobytes() + np.ascontiguousarray(values[t]).tobytes()))
     return out
 
 
+def _rows(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
+
+
+def _packed(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    return _rows(rows, ["bucket", "kind", "body"], [pa.int32(), pa.int32(), pa.binary()])
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], close) -> Iterator[pa.RecordBatch]:
+    """``close`` the packed rows of each bucket together; the rows come sorted by bucket."""
+    now, bodies = None, []
+    for batch in batches:
+        for bucket, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if bucket != now and bodies:
+                yield close(bodies)
+                bodies = []
+            now = bucket
+            bodies.append(body)
+    if bodies:
+        yield close(bodies)
+
+
+def _by_document(columns: int):
+    """Packed rows of one bucket of documents -> one row for each document with all its values as int64."""
+
+    def close(bodies: list[bytes]) -> pa.RecordBatch:
+        did, key, values = [], [], []
+        for body in bodies:
+            n = int(np.frombuffer(body, np.int64, 1)[0])
+            did.append(np.frombuffer(body, np.int64, n, 8))
+            key.append(np.frombuffer(body, np.int64, n, 8 + 8 * n))
+            values.append(np.frombuffer(body, np.int64, n * columns, 8 + 16 * n).reshape(n, columns))
+        did, key, values = map(np.concatenate, (did, key, values))
+        order = np.lexsort((values[:, 0], key, did))
+        did, key, values = did[order], key[order], values[order]
+        head = np.flatnonzero(np.concatenate([[True], (did[1:] != did[:-1]) | (key[1:] != key[:-1])]))
+        rows = [(int(did[a]), int(key[a]), values[a:b].tobytes()) for a, b in zip(head, [*head[1:], len(did)], strict=True)]
+        return _rows(rows, ["did", "key", "found"], [pa.int64(), pa.int64(), pa.binary()])
+
+    return lambda batches: _grouped(batches, close)
+
+
 def _positions_in(docs_end: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.searchsorted(docs_end, at, side="right")
 
 
 def _first_pass(length: int, seed: int, buckets: int):
-    """Batches of documents -> locally settled spans (bucket -1 - x) and the open anchors by bucket, packed."""
-    names = ["bucket", "did", "key", "body"]
+    """Batches of documents -> packed open anchors by bucket of the seed (kind 0), and settled spans (kind 1)."""
 
     def solve(ids: list[int], keys: list[int], texts: list[bytes]) -> pa.RecordBatch:
         data = np.frombuffer(b"".join(texts), np.uint8)
@@ -210,7 +270,7 @@ def _first_pass(length: int, seed: int, buckets: int):
         of = _positions_in(end, at)
         ok = (at + seed <= end[of]) & (size[of] >= length)
         at, h, of = at[ok], h[ok], of[ok]
-        rows: list[tuple[int, int, int, bytes]] = []
+        rows: list[tuple[int, int, bytes]] = []
         still = np.ones(len(at), bool)
         order = np.argsort(h, kind="stable")
         same = h[order][1:] == h[order][:-1]
@@ -224,7 +284,8 @@ def _first_pass(length: int, seed: int, buckets: int):
             cols = np.arange(length - seed + 1)
             still[rep] = ((cols >= lo[:, None]) & (cols + length <= hi[:, None]) & ~flags).any(1)
             local = at[rep] - (end - size)[of[rep]]
-            rows += [(-1 - d % buckets, ids[d], keys[d], s) for d, s in _runs(of[rep], local, flags, length, seed).items()]
+            d, pairs = _spans(of[rep], local, flags, length, seed)
+            rows += [(b, 1, body) for b, body in _pack(did[d], key[d], pairs, buckets)]
         at, h, of = at[still], h[still], of[still]
         bucket = (h % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
@@ -237,10 +298,8 @@ def _first_pass(length: int, seed: int, buckets: int):
             if i < j:
                 used, where = np.unique(of[i:j], return_inverse=True)
                 head = np.array([j - i, len(used)], np.int64).tobytes()
-                rows.append((b, 0, 0, head + did[used].tobytes() + key[used].tobytes() + np.ascontiguousarray(short[i:j]).tobytes() + where.astype(np.uint32).tobytes() + local[i:j].tobytes()))
-        cols_ = list(zip(*rows, strict=True)) or [[], [], [], []]
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols_, kinds, strict=True)], names=names)
+                rows.append((b, 0, head + did[used].tobytes() + key[used].tobytes() + np.ascontiguousarray(short[i:j]).tobytes() + where.astype(np.uint32).tobytes() + local[i:j].tobytes()))
+        return _packed(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, keys, texts, total = [], [], [], 0
@@ -258,23 +317,16 @@ def _first_pass(length: int, seed: int, buckets: int):
     return run
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per bucket: anchors whose seed is open in several documents, by document; settled spans pass through."""
-    names = ["did", "key", "spans", "anchors"]
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*rows, strict=True)) or [[], [], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
+def _candidates(buckets: int):
+    """Per bucket: anchors whose seed is open in several documents, packed by document; settled spans pass through."""
 
-    def close(bodies: list[bytes]) -> list[tuple]:
+    def close(bodies: list[bytes]) -> pa.RecordBatch:
         did, key, seeds, at = [], [], [], []
         for body in bodies:
             n, m = np.frombuffer(body, np.int64, 2).tolist()
-            pos = 16
-            d = np.frombuffer(body, np.int64, m, pos)
-            k = np.frombuffer(body, np.int64, m, pos + 8 * m)
-            pos += 16 * m
+            d = np.frombuffer(body, np.int64, m, 16)
+            k = np.frombuffer(body, np.int64, m, 16 + 8 * m)
+            pos = 16 + 16 * m
             short = np.zeros((n, 8), np.uint8)
             short[:, :6] = np.frombuffer(body, np.uint8, 6 * n, pos).reshape(n, 6)
             where = np.frombuffer(body, np.uint32, n, pos + 6 * n)
@@ -287,106 +339,95 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = np.flatnonzero(np.concatenate([[True], seeds[1:] != seeds[:-1]]))
         many = np.minimum.reduceat(did, head) != np.maximum.reduceat(did, head)
         keep = np.repeat(many, np.diff(np.append(head, len(seeds))))
-        did, key, at = did[keep], key[keep], at[keep]
-        order = np.lexsort((at, key, did))
-        did, key, at = did[order], key[order], at[order]
-        if not len(did):
-            return []
-        edge = np.flatnonzero(np.concatenate([[True], (did[1:] != did[:-1]) | (key[1:] != key[:-1])]))
-        return [(int(did[a]), int(key[a]), None, at[a:b].tobytes()) for a, b in zip(edge, [*edge[1:], len(did)], strict=True)]
+        return _packed([(b, 0, body) for b, body in _pack(did[keep], key[keep], at[keep].astype(np.int64), buckets)])
 
-    now, bodies = None, []
-    for batch in batches:
-        done = []
-        for bucket, did, key, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if bucket < 0:
-                done.append((did, key, body, None))
-                continue
-            if bucket != now and bodies:
-                yield batch_of(close(bodies))
-                bodies = []
-            now = bucket
-            bodies.append(body)
-        yield batch_of(done)
-    if bodies:
-        yield batch_of(close(bodies))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, bodies = None, []
+        for batch in batches:
+            settled = []
+            for bucket, kind, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if kind:
+                    settled.append((bucket, 1, body))
+                    continue
+                if bucket != now and bodies:
+                    yield close(bodies)
+                    bodies = []
+                now = bucket
+                bodies.append(body)
+            yield _packed(settled)
+        if bodies:
+            yield close(bodies)
+
+    return run
 
 
 def _send_contexts(length: int, seed: int, buckets: int):
-    """Documents with their candidate anchors -> packed contexts by bucket of the seed's hash."""
+    """Documents with their candidate anchors -> packed, compressed contexts by bucket of the seed's hash."""
     width = 2 * length - seed
 
+    def send(did: list[int], key: list[int], texts: list[bytes], found: list[bytes]) -> pa.RecordBatch:
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        start = np.cumsum(size) - size
+        own = [np.frombuffer(x, np.int64) for x in found]
+        of, at = np.repeat(np.arange(len(own)), [len(x) for x in own]), np.concatenate(own)
+        ctx, lo, hi = contexts(data, at + start[of], start[of], (start + size)[of], length, seed)
+        h = row_hashes(ctx[:, length - seed : length])
+        bucket = (h % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        ids, keys = np.array(did, np.int64), np.array(key, np.int64)
+        squeeze, rows = zstandard.ZstdCompressor(level=1).compress, []
+        for b in range(buckets):
+            t = order[cut[b] : cut[b + 1]]
+            if len(t):
+                parts = (np.array([len(t)], np.int64), ids[of[t]], keys[of[t]], at[t], lo[t].astype(np.uint8), hi[t].astype(np.uint8), ctx[t])
+                rows.append((b, squeeze(b"".join(x.tobytes() for x in parts))))
+        return _rows(rows, ["bucket", "body"], [pa.int32(), pa.binary()])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        did, key, texts, found, total = [], [], [], [], 0
         for batch in batches:
-            did, key, texts, lists = (c.to_pylist() for c in batch.columns)
-            data = np.frombuffer(b"".join(t.encode() for t in texts), np.uint8)
-            size = np.array([len(t.encode()) for t in texts], np.int64)
-            start = np.cumsum(size) - size
-            own = [np.concatenate([np.frombuffer(x, np.uint32) for x in some]).astype(np.int64) for some in lists]
-            of = np.repeat(np.arange(len(own)), [len(x) for x in own])
-            at = np.concatenate(own) if own else np.zeros(0, np.int64)
-            if not len(at):
-                continue
-            ctx, lo, hi = contexts(data, at + start[of], start[of], (start + size)[of], length, seed)
-            up, _ = powers(width)
-            h = mix((ctx[:, length - seed : length].astype(np.uint64) + np.uint64(1)) @ up[:seed])
-            bucket = (h % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            ids, keys = np.array(did, np.int64), np.array(key, np.int64)
-            out = [[], []]
-            for b in range(buckets):
-                t = order[cut[b] : cut[b + 1]]
-                if len(t):
-                    parts = (np.array([len(t)], np.int64), ids[of[t]], keys[of[t]], at[t], h[t], lo[t].astype(np.uint8), hi[t].astype(np.uint8), ctx[t])
-                    out[0].append(b)
-                    out[1].append(b"".join(x.tobytes() for x in parts))
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary())], names=["bucket", "body"])
+            for d, k, t, f in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                did.append(d), key.append(k), texts.append(t.encode()), found.append(f)
+                total += len(texts[-1]) + 4 * len(f)
+                if total >= BATCH_BYTES:
+                    yield send(did, key, texts, found)
+                    did, key, texts, found, total = [], [], [], [], 0
+        if texts:
+            yield send(did, key, texts, found)
 
     return run
 
 
-def _settle(length: int, seed: int):
-    """Per bucket: the suffix sort of all contexts, and the spans that it removes, by document."""
+def _settle(length: int, seed: int, buckets: int):
+    """Per bucket: the suffix sort of all contexts, and the spans that it removes, packed by document."""
     width = 2 * length - seed
 
     def close(bodies: list[bytes]) -> pa.RecordBatch:
-        cols = [[] for _ in range(7)]
+        cols, kinds = [[] for _ in range(6)], ((np.int64, 1), (np.int64, 1), (np.int64, 1), (np.uint8, 1), (np.uint8, 1), (np.uint8, width))
         for body in bodies:
+            body, pos = zstandard.ZstdDecompressor().decompress(body), 8
             n = int(np.frombuffer(body, np.int64, 1)[0])
-            pos = 8
-            for k, (kind, bytes_) in enumerate(((np.int64, 8), (np.int64, 8), (np.int64, 8), (np.uint64, 8), (np.uint8, 1), (np.uint8, 1), (np.uint8, width))):
-                cols[k].append(np.frombuffer(body, kind, n * bytes_ // np.dtype(kind).itemsize, pos))
-                pos += n * bytes_
-        did, key, at, h, lo, hi, ctx = map(np.concatenate, cols)
-        flags = earliest(ctx.reshape(-1, width), lo.astype(np.int64), hi.astype(np.int64), h, did, length, seed)
+            for col, (kind, many) in zip(cols, kinds, strict=True):
+                col.append(np.frombuffer(body, kind, n * many, pos))
+                pos += n * many * np.dtype(kind).itemsize
+        did, key, at, lo, hi, ctx = map(np.concatenate, cols)
+        ctx = ctx.reshape(-1, width)
+        flags = earliest(ctx, lo.astype(np.int64), hi.astype(np.int64), row_hashes(ctx[:, length - seed : length]), did, length, seed)
         some = flags.any(1)
         did, key, at, flags = did[some], key[some], at[some], flags[some]
         order = np.lexsort((key, did))
         did, key, at, flags = did[order], key[order], at[order], flags[order]
         number = np.cumsum(np.concatenate([[True], (did[1:] != did[:-1]) | (key[1:] != key[:-1])])) - 1 if len(did) else did
-        head = np.flatnonzero(np.diff(number, prepend=-1)) if len(did) else did
-        spans = _runs(number, at, flags, length, seed)
-        rows = [(int(did[head[n]]), int(key[head[n]]), s) for n, s in spans.items()]
-        out = list(zip(*rows, strict=True)) or [[], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["did", "key", "spans"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, bodies = None, []
-        for batch in batches:
-            for bucket, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if bucket != now and bodies:
-                    yield close(bodies)
-                    bodies = []
-                now = bucket
-                bodies.append(body)
-        if bodies:
-            yield close(bodies)
+        head = np.flatnonzero(np.diff(number, prepend=-1))
+        d, pairs = _spans(number, at, flags, length, seed)
+        return _rows([(b, body) for b, body in _pack(did[head[d]], key[head[d]], pairs, buckets)], ["bucket", "body"], [pa.int32(), pa.binary()])
 
-    return run
+    return lambda batches: _grouped(batches, close)
 
 
-def remove_repeats(docs: DataFrame, *, length: int = 50, seed: int = 24, text: bool = True, buckets: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, length: int = 50, seed: int = 20, text: bool = True, buckets: int | None = None) -> DataFrame:
     """Remove each byte under a ``length``-byte string that also starts in a document with a smaller doc_id.
 
     Rows ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and, if asked for, ``kept`` (the remaining bytes).  Strings
@@ -399,16 +440,16 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, seed: int = 24, text: b
     small_batches(spark)
     did = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST))
     keyed = docs.select(did.alias("did"), text_key(did, F.col("text")).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    opened = keyed.where(F.octet_length("text") >= length).mapInArrow(_first_pass(length, seed, buckets), "bucket int, did bigint, key bigint, body binary")
-    dealt = opened.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    found = saved(dealt.mapInArrow(_candidates, "did bigint, key bigint, spans binary, anchors binary"))
-    lists = found.where("anchors is not null").groupBy("did", "key").agg(F.collect_list("anchors").alias("anchors"))  # by one document's length
-    whole = keyed.join(lists, ["did", "key"]).select("did", "key", "text", "anchors")
+    deal = lambda df: df.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    opened = keyed.where(F.octet_length("text") >= length).mapInArrow(_first_pass(length, seed, buckets), "bucket int, kind int, body binary")
+    found = saved(deal(opened).mapInArrow(_candidates(buckets), "bucket int, kind int, body binary"))
+    of = "did bigint, key bigint, found binary"
+    lists = deal(found.where("kind = 0").select("bucket", "body")).mapInArrow(_by_document(1), of)
+    whole = keyed.join(lists, ["did", "key"]).select("did", "key", "text", "found")
     sent = whole.mapInArrow(_send_contexts(length, seed, buckets), "bucket int, body binary")
-    settled = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_settle(length, seed), "did bigint, key bigint, spans binary")
-    spans = found.where("spans is not null").select("did", "key", "spans").unionByName(settled)
-    spans = spans.groupBy("did", "key").agg(F.collect_list("spans").alias("spans"))
-    rows = keyed.join(spans, ["did", "key"], "left").select("did", "text", "spans")
+    settled = deal(sent).mapInArrow(_settle(length, seed, buckets), "bucket int, body binary")
+    spans = deal(found.where("kind = 1").select("bucket", "body").unionByName(settled)).mapInArrow(_by_document(2), of)
+    rows = keyed.join(spans, ["did", "key"], "left").select("did", "text", "found")
 
     def cut(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
@@ -416,7 +457,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, seed: int = 24, text: b
             raw = t.encode()
             kept, n_spans = raw, 0
             if some:
-                pairs = np.concatenate([np.frombuffer(s, np.int64) for s in some]).reshape(-1, 2)
+                pairs = np.frombuffer(some, np.int64).reshape(-1, 2)
                 depth = np.zeros(len(raw) + 1, np.int64)
                 np.add.at(depth, pairs[:, 0], 1)
                 np.add.at(depth, pairs[:, 1], -1)
