@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, exact_substrings, fuzzy_lines, html_text, jaccard_join, language
+from . import audio, bpe, exact_substrings, fuzzy_lines, hamming_search, html_text, jaccard_join, language, mixing, quality
 from ._common import table
 
 
+def op1_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every document in a mixture where a source of n documents weighs the square root of n."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; statistics from labelled rows outside the held-out quarter only."""
     docs = table(spark, sf_dir, "documents")
@@ -23,6 +28,11 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op4_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest sign codes of every fiftieth vector."""
+    return hamming_search.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op5_exact_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every byte under a 50-byte string of an earlier document removed."""
     return exact_substrings.remove_repeats(table(spark, sf_dir, "documents"), text=False)
@@ -46,6 +56,11 @@ def op8_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document from its text, its source and its language within the source."""
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded with the public 50k vocabulary and decoded again."""
     import public_tokenizers
@@ -54,12 +69,15 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pfair_mixing": op1_pfair_mixing,
     "op2_language_id": op2_language_id,
     "op3_html_extraction": op3_html_extraction,
+    "op4_hamming_search": op4_hamming_search,
     "op5_exact_substrings": op5_exact_substrings,
     "op6_fuzzy_lines": op6_fuzzy_lines,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_audio_features": op8_audio_features,
+    "op9_quality": op9_quality,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
@@ -95,4 +113,14 @@ SELECT b.doc_id, CAST(len(b.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(t.gone,
 FROM b LEFT JOIN t USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op5_exact_substrings": _OP5, "op7_jaccard_join": _OP7}
+_OP4 = """
+WITH pairs AS (
+  SELECT q.vec_id AS query_id, b.vec_id AS neighbor_id,
+         CAST(list_sum(list_transform(list_zip(q.embedding, b.embedding),
+              lambda z: CASE WHEN (z[1] >= 0) <> (z[2] >= 0) THEN 1 ELSE 0 END)) AS BIGINT) AS distance
+  FROM embeddings q JOIN embeddings b ON q.vec_id % 50 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank FROM pairs)
+SELECT query_id, rank, neighbor_id, distance FROM ranked WHERE rank <= 10
+"""
+
+ORACLES: dict[str, str] = {"op4_hamming_search": _OP4, "op5_exact_substrings": _OP5, "op7_jaccard_join": _OP7}
