@@ -180,8 +180,10 @@ def earliest(ctx: np.ndarray, lo: np.ndarray, hi: np.ndarray, seeds: np.ndarray,
                 first = np.minimum.reduceat(docs_of[k], heads)
                 least[c[k], o] = np.repeat(first, np.diff(np.append(heads, len(k))))
     cols = np.arange(before + 1)
-    inside = (cols >= lo[:, None]) & (cols + length <= hi[:, None])
-    out[order] = inside & (least[cls] < doc[:, None])
+    for x in range(0, n, 16384):
+        part = slice(x, x + 16384)
+        inside = (cols >= lo[part, None]) & (cols + length <= hi[part, None])
+        out[order[part]] = inside & (least[cls[part]] < doc[part, None])
     return out
 
 
@@ -436,7 +438,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, seed: int = 20, text: b
     remove from each other.  One row per input row; only ``doc_id`` and ``text`` are read.
     """
     spark = docs.sparkSession
-    buckets = buckets or partitions(spark)
+    buckets = buckets or 2 * partitions(spark)
     small_batches(spark)
     did = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST))
     keyed = docs.select(did.alias("did"), text_key(did, F.col("text")).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
