@@ -100,3 +100,14 @@ def scoreboard(oos: DataFrame, *, benchmark: str = "ar_benchmark", since: str |
     a = a.join(F.broadcast(base), how="left") if benchmark in [m.removeprefix("pred_") for m in models] else a.withColumn("base", F.lit(None).cast("double"))
     a = a.withColumn("skill_vs_AR", 1 - F.try_divide("MAE", F.nullif(F.col("base"), F.lit(0.0))))
     return a.select("model", "MAE", "RMSE", "skill_vs_AR", "dir_acc", "turn_acc", "corr", "MAE_turns", "turn_acc_turns").orderBy("MAE", "model")
+
+
+def importance(gains: DataFrame, top: int = 20) -> DataFrame:
+    """Shares of all gains and the family (text before the first '_') of the ``top`` features.
+
+    ``gains`` is ``feature, gain``; shares are over every feature, also those that are cut off.
+    """
+    total = gains.agg(F.sum("gain").alias("total"))
+    x = gains.join(F.broadcast(total), how="cross")
+    share = F.try_divide("gain", F.nullif(F.col("total"), F.lit(0.0)))
+    return x.select("feature", F.substring_index("feature", "_", 1).alias("family"), "gain", share.alias("share")).orderBy(F.desc("gain"), "feature").limit(top)

@@ -51,22 +51,16 @@ def build_features(tidy: DataFrame, *, target_series: str, price_prefix: str = "
     x = panel.select("*", tr.yoy("value", w).alias("yoy"), *[tr.mom("value", w, n).alias(f"mom{n}") for n in (1, 3, 6, 12)], tr.moving_average("value", w, 3).alias("smooth"))
     x = x.withColumn("yoy_z", tr.expanding_z("yoy", w, min_periods)).withColumn("pit", tr.yoy("smooth", w))
 
-    def long(rows: DataFrame, **columns: str) -> DataFrame:
-        pairs = F.array(*[F.struct(F.concat("series", F.lit(f"__{name}")).alias("feature"), F.col(c).alias("value")) for name, c in columns.items()])
-        return rows.select("date", F.inline(pairs))
-
-    parts = [long(x.where(~price), yoy="yoy", mom3="mom3", yoy_z="yoy_z"), long(x.where(price), ret1="mom1", mom3="mom3", mom6="mom6", mom12="mom12")]
-    pit = x.where(F.col("series") == target_series)
-    lags = [F.struct(F.lit("target_pit").alias("feature"), F.col("pit").alias("value"))]
-    lags += [F.struct(F.lit(f"target_pit__lag{k}").alias("feature"), F.lag("pit", k).over(w).alias("value")) for k in PANEL_LAGS]
-    parts.append(pit.select("date", F.inline(F.array(*lags))))
-    growth = x.where(~price).select("series", "date", F.col("yoy").alias("value"))
-    parts.append(diffusion_index(growth).select("date", F.lit("breadth").alias("feature"), F.col("breadth").alias("value")))
+    x = x.select("*", *[F.lag("pit", k).over(w).alias(f"lag{k}") for k in PANEL_LAGS], tr.difference("yoy", w).alias("rise"))
+    target = F.col("series") == target_series
+    cells = [(~price, "yoy", "__yoy"), (F.lit(True), "mom3", "__mom3"), (~price, "yoy_z", "__yoy_z"), (price, "mom1", "__ret1"), (price, "mom6", "__mom6"), (price, "mom12", "__mom12")]
+    named = [F.struct(F.when(c, F.concat("series", F.lit(name))).alias("feature"), F.col(v).alias("value")) for c, v, name in cells]
+    named += [F.struct(F.when(target, F.lit(name)).alias("feature"), F.col(v).alias("value")) for name, v in {"target_pit": "pit", **{f"target_pit__lag{k}": f"lag{k}" for k in PANEL_LAGS}}.items()]
+    out = x.select("date", F.inline(F.array(*named))).where("feature is not null")
+    known = x.where(~price).groupBy("date").agg(F.sum(F.when(F.col("rise") > 0, 1).otherwise(0)).alias("up"), F.count("yoy").alias("n"))
+    out = out.unionByName(known.select("date", F.lit("breadth").alias("feature"), F.try_divide("up", "n").alias("value")))
     if pair:
-        parts.append(relative_momentum(x.select("date", "series", "mom6"), *pair, min_periods=min_periods))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        out = out.unionByName(relative_momentum(x.select("date", "series", "mom6"), *pair, min_periods=min_periods))
     return out.withColumn("value", tr.null_if_not_finite("value"))
 
 
