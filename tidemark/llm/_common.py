@@ -31,14 +31,20 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str, names: list[str] | None = None) -> DataFrame:
-    """Apply ``fn`` to every Arrow batch; it returns the output columns by name, or None for no rows."""
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str, names: list[str] | None = None, done: Callable[[], None] | None = None) -> DataFrame:
+    """Apply ``fn`` to every Arrow batch; it returns the output columns by name, or None for no rows.
+
+    ``done`` is called at the end of each partition: Python workers outlive their tasks, what they remember should not.
+    """
     names = names or [x.strip().split(" ")[0] for x in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows and (out := fn(batch)) is not None:
                 yield pa.RecordBatch.from_arrays([x if isinstance(x := out[n], pa.Array) else pa.array(x) for n in names], names=names)
+        if done is not None:
+            done()
+        pa.default_memory_pool().release_unused()
 
     small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)

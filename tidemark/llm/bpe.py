@@ -26,7 +26,7 @@ _NONE = np.int64(1) << 40
 #: Pre-tokens of up to this many bytes are encoded as rows of a matrix, longer ones singly.
 ROW_BYTES = 64
 #: Distinct pre-tokens that a worker remembers before it starts afresh.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 150_000
 
 
 class BytePairs:
@@ -37,6 +37,7 @@ class BytePairs:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.bytes_of = {r: b for b, r in ranks.items()}
+        self.name_of = {r: str(r) for r in ranks.values()}
         self.byte_id = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         self.pair: dict[tuple[int, int], int] = {}
         for token, rank in ranks.items():
@@ -55,7 +56,7 @@ class BytePairs:
             return cls({base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())})
 
     def decode(self, ids) -> bytes:
-        return b"".join(self.bytes_of[i] for i in ids)
+        return b"".join(map(self.bytes_of.__getitem__, ids))
 
     def encode_one(self, word: bytes) -> list[int]:
         """Ids of one pre-token by a scalar segment tree."""
@@ -128,8 +129,8 @@ class BytePairs:
         raw = np.frombuffer(b"".join(w.ljust(size, b"\0") for w in words), np.uint8).reshape(n, size)
         ids = np.full((n, width), (1 << 20) - 1, np.int64)  # an id that no pair has
         ids[:, 1 : size + 1] = np.where(np.arange(size) < lengths[:, None], self.byte_id[raw], (1 << 20) - 1)
-        after = np.tile(np.minimum(np.arange(1, width + 1), size + 1), (n, 1))
-        before = np.tile(np.maximum(np.arange(-1, width - 1), 0), (n, 1))
+        after = np.tile(np.minimum(np.arange(1, width + 1), size + 1).astype(np.int32), (n, 1))
+        before = np.tile(np.maximum(np.arange(-1, width - 1), 0).astype(np.int32), (n, 1))
         tree = np.full((n, 2 * size), _NONE, np.int64)
         tree[:, size:] = self._ranks(ids[:, 1 : size + 1].ravel(), ids[:, 2:].ravel()).reshape(n, size)
         for k in range(size - 1, 0, -1):
@@ -178,23 +179,29 @@ class Codec:
     def __init__(self, pairs: BytePairs, pattern: str):
         self.pairs, self.find = pairs, regex.compile(pattern).findall
         self.said: dict[str, str] = {}
-        self.many: dict[str, int] = {}
         self.back: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        self.said.clear()
+        self.back.clear()
+
     def learn(self, words: set[str]) -> None:
         if len(self.said) > CACHE_WORDS:
-            self.said.clear(), self.many.clear(), self.back.clear()
+            self.forget()
         new = [w for w in words if w not in self.said]
+        said, back, name, decode = self.said, self.back, self.pairs.name_of.__getitem__, self.pairs.decode
         for w, ids in zip(new, self.pairs.encode_many([w.encode() for w in new]), strict=True):
-            self.said[w], self.many[w], self.back[w] = " ".join(map(str, ids)), len(ids), self.pairs.decode(ids)
+            said[w], back[w] = " ".join(map(name, ids)), decode(ids)
 
     def rows(self, texts: list[str | None]) -> list[tuple[int, str, bytes]]:
         """For each text: number of ids, the decimal ids joined by one space, the bytes decoded from them."""
         found = [self.find(t) if t else [] for t in texts]
-        missing = set().union(*found)
-        self.learn(missing)
-        said, many, back = self.said.__getitem__, self.many.__getitem__, self.back.__getitem__
-        return [(sum(map(many, f)), " ".join(map(said, f)), b"".join(map(back, f))) for f in found]
+        self.learn(set().union(*found))
+        said, back, out = self.said.__getitem__, self.back.__getitem__, []
+        for f in found:
+            ids = " ".join(map(said, f))
+            out.append((ids.count(" ") + 1 if ids else 0, ids, b"".join(map(back, f))))
+        return out
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
@@ -228,7 +235,8 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, *, id_col: str = "doc
             out["ids"] = pa.array([list(map(int, s.split())) for _, s, _ in rows], pa.list_(pa.int32()))
         return out
 
-    return map_batches(docs.selectExpr(f"cast(`{id_col}` as bigint) id", f"`{text_col}` text"), run, schema)
+    done = lambda: codec(vocabulary, pattern).forget()
+    return map_batches(docs.selectExpr(f"cast(`{id_col}` as bigint) id", f"`{text_col}` text"), run, schema, done=done)
 
 
 def decode(encoded: DataFrame, vocabulary: str, pattern: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -26,7 +26,7 @@ from ._common import map_batches
 
 UNIT = 1024
 _LETTER = regex.compile(r"\p{L}")
-_CHUNK = 1 << 19
+_CHUNK = 1 << 17
 
 
 class Table:

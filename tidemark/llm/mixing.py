@@ -25,7 +25,7 @@ SLOTS_PER_SOURCE = 64
 #: Sources that one schedule takes; more of them should be pooled first.
 MAX_SOURCES = 2000
 #: Rows that are ranked together.
-RANK_ROWS = 50_000
+RANK_ROWS = 2_000
 
 
 def quotas(weights: Sequence[float], slots: int) -> list[int]:
