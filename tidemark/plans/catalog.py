@@ -185,7 +185,7 @@ def diff6(spark, d):
 
 @_query("""SELECT date, round(rel, 6) AS rel, round(CASE WHEN count(rel) OVER w >= 24 THEN (rel - avg(rel) OVER w) / nullif(stddev_samp(rel) OVER w, 0) END, 6) AS z
 FROM (SELECT date, max(CASE WHEN series = 'px_1' THEN m END) - max(CASE WHEN series = 'px_2' THEN m END) AS rel FROM
-  (SELECT series, date, value / nullif(lag(value, 6) OVER (PARTITION BY series ORDER BY date), 0) - 1 AS m FROM pgrid) GROUP BY date)
+  (SELECT series, date, value / nullif(lag(value, 6) OVER (PARTITION BY series ORDER BY date), 0) - 1 AS m FROM pgrid WHERE series IN ('px_1', 'px_2')) GROUP BY date)
 WINDOW w AS (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def relative_momentum(spark, d):
     x = grid.densify(base.prices(spark, d).select("series", "date", "value")).withColumn("mom6", tr.mom("value", _w(), 6))
