@@ -74,7 +74,7 @@ def test_walk_forward_respects_the_gap(spark):
     wide = spark.createDataFrame([(d, float(i), float(i)) for i, d in enumerate(months(n, 2000))], "date date, f double, y double")
     spy = {"last": lambda x, y, t: np.array([y.iloc[-1]]), "size": lambda x, y, t: np.array([float(len(x))])}
     out = evaluate.walk_forward(wide, spy, horizon=3, min_train=60).toPandas()
-    assert ((out["y_true"] - out["pred_last"]) == 7).all() and (out["pred_size"] == out["n_train"]).all() and out["n_train"].min() == 60
+    assert ((out["y_true"] - out["pred_last"]) == 7).all() and (out["pred_size"] == out["n_train"]).all() and out["n_train"].min() == 61
 
 
 def test_models_learn_a_line():

@@ -96,7 +96,7 @@ def bry_boschan(series: DataFrame, rules: Rules = Rules()) -> DataFrame:
 def merge_short_runs(phases: list[str], least: int) -> list[str]:
     """Give the first run that is too short to its predecessor (at the start, its successor) until none is left."""
     out = list(phases)
-    while True:
+    while out:
         starts = [i for i in range(len(out)) if i == 0 or out[i] != out[i - 1]]
         runs = list(zip(starts, [*starts[1:], len(out)], strict=True))
         short = next(((a, b) for a, b in runs if b - a < least), None)
@@ -104,6 +104,7 @@ def merge_short_runs(phases: list[str], least: int) -> list[str]:
             return out
         a, b = short
         out[a:b] = [out[a - 1] if a else out[b]] * (b - a)
+    return out
 
 
 def classify_phases(series: DataFrame, turns: DataFrame, rules: Rules = Rules()) -> DataFrame:
