@@ -39,8 +39,9 @@ def walk_forward(wide: DataFrame, models: dict[str, Model], *, horizon: int, tar
     """
     spark = wide.sparkSession
     columns = [c for c in wide.columns if c not in ("date", target)]
-    data = spark.sparkContext.broadcast(wide.orderBy("date").toPandas())
-    test = folds(wide, horizon=horizon, **rule)
+    table = wide.orderBy("date").toPandas()  # months x features
+    data = spark.sparkContext.broadcast(table)
+    test = folds(spark.createDataFrame([(x,) for x in table["date"]], "date date"), horizon=horizon, **rule)
     n = min(200, max(1, spark.sparkContext.defaultParallelism * 2))
 
     def run(parts):
