@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from helpers import duck, rows
 from tidemark.llm import audio, bpe, exact_substrings, fuzzy_lines, hamming_search, html_text, jaccard_join, language, mixing, quality, queries, shingles
-from tidemark.llm._common import components
+from tidemark.llm._common import components, squeeze
 
 LAST = (1 << 63) - 1
 
@@ -62,8 +62,6 @@ def test_language_held_out_accuracy_and_odd_rows(spark, odd, none):
     model = language.fit(language.training_sample(df.where(~language.held_out())))
     got = language.identify(df.where(language.held_out()), model, keep=("lang",)).toPandas()
     assert (got["lang_pred"] == got["lang"]).mean() > 0.97 and got["score"].between(0, 1).all()
-    o = language.identify(odd, model, keep=("score",)) if "score" not in ("lang_pred",) else None
-    del o
     o = language.identify(odd.drop("score"), model).collect()
     assert len(o) == 11 and sorted({(r["lang_pred"], r["score"]) for r in o if r["doc_id"] in (3, 4, 6, 7)}) == [("und", 0.0)]
     assert language.identify(none, model).count() == 0
@@ -290,6 +288,13 @@ def test_components_of_a_long_path_and_a_star(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_squeeze_round_trip(odd, none):
+    packed = squeeze(odd.select("doc_id", "text", "lang"), "text")
+    assert dict(packed.dtypes)["text"] == "binary"
+    assert squeeze(packed, "text", back=True).exceptAll(odd.select("doc_id", "text", "lang")).count() == 0
+    assert squeeze(none.select("text"), "text").count() == 0
+
+
 # 8. Audio
 
 

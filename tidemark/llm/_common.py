@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +51,20 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], sche
     return df.mapInArrow(run, schema)
 
 
+def squeeze(df: DataFrame, column: str, *, back: bool = False) -> DataFrame:
+    """``df`` with a text column as Zstandard frames, or as text again: for texts that cross several shuffles."""
+    names = df.columns
+    at = names.index(column)
+    kinds = dict(df.dtypes) | {column: "string" if back else "binary"}
+    pack = (lambda x: zstandard.ZstdDecompressor().decompress(x).decode()) if back else (lambda x: zstandard.ZstdCompressor(level=3).compress(x.encode()))
+
+    def run(batch: pa.RecordBatch) -> dict:
+        cells = [None if x is None else pack(x) for x in batch.column(at).to_pylist()]
+        return {n: pa.array(cells, pa.string() if back else pa.binary()) if i == at else batch.column(i) for i, n in enumerate(names)}
+
+    return map_batches(df, run, ", ".join(f"`{n}` {kinds[n]}" for n in names), names)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
