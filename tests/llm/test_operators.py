@@ -221,6 +221,47 @@ def test_lines_equal_brute_force(spark):
         assert got[i]["text"] == "\n".join(want) and got[i]["n_lines"] == 6 and got[i]["n_removed"] == 6 - len(want)
 
 
+def test_lines_by_edits_alone_equal_brute_force(spark):
+    g = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(40)]
+    texts = []
+    for n in (4, 5, 6, 9, 10, 15, 20, 21, 40, 80, 120):
+        for _ in range(6):
+            base = list(g.choice(words, n))
+            for _ in range(3):
+                x = list(base)
+                for _ in range(g.integers(0, n // 4 + 2)):
+                    k, at = g.integers(3), int(g.integers(len(x)))
+                    x[at : at + int(k != 1)] = [] if k == 2 else [str(g.choice(words))]
+                texts.append(" ".join(x))
+    texts += ["ha " * 30, "ha " * 11, "ha " * 10, "ha " * 4, "ha ho ha ho ha"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seq = [tuple(t.split()) for t in texts]
+    # The rule on the word strings, in which two of the words may be one character.
+    code = {r["w"]: r["c"] for r in spark.createDataFrame([(w,) for w in {w for x in seq for w in x}], "w string").select("w", fuzzy_lines.word_string(F.array("w")).alias("c")).collect()}
+    coded = ["".join(code[w] for w in x) for x in seq]
+    root = list(range(len(seq)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(coded):
+        for j in range(i):
+            if seq[i] == seq[j] or (min(len(seq[i]), len(seq[j])) >= 4 and edits(a, coded[j]) * 100 <= 20 * max(len(a), len(coded[j]))):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    got = {r["doc_id"]: r["n_removed"] for r in fuzzy_lines.dedup_lines(df, max_bits=None).collect()}
+    assert got == {i: int(find(i) != i) for i in range(len(seq))} and 40 < sum(got.values()) < 150
+
+
+def test_op6_drops_a_line_with_one_changed_word(spark, tmp_path):
+    base = [f"w{i}" for i in range(10)]
+    spark.createDataFrame([(1, " ".join(base)), (2, " ".join(["other", *base[1:]]))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted((r["doc_id"], r["n_removed"]) for r in queries.op6_fuzzy_lines(spark, str(tmp_path)).collect()) == [(1, 0), (2, 1)]
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

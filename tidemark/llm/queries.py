@@ -40,7 +40,7 @@ def op5_exact_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that repeat, up to a fifth of the words, an earlier one."""
-    return fuzzy_lines.dedup_lines(table(spark, sf_dir, "documents"))
+    return fuzzy_lines.dedup_lines(table(spark, sf_dir, "documents"), max_bits=None)
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
