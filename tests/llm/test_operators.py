@@ -256,6 +256,16 @@ def test_lines_by_edits_alone_equal_brute_force(spark):
     assert got == {i: int(find(i) != i) for i in range(len(seq))} and 40 < sum(got.values()) < 150
 
 
+@pytest.mark.parametrize("max_bits", [3, None])
+def test_lines_of_one_simhash_meet_each_other(spark, max_bits):
+    b = [f"w{i}" for i in range(20)]
+    kinds = [b, [*b[1:10], b[0], *b[10:]]]  # one word moved
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(kinds + [list(g) for g in (b[::-1], b[1::2] + b[::2], b[::2] + b[1::2], b[10:] + b[:10])])], "doc_id long, text string")
+    assert len({r["s"] for r in fuzzy_lines.hashed_lines(df).collect()}) == 1
+    got = {r["doc_id"]: r["n_removed"] for r in fuzzy_lines.dedup_lines(df, max_bits=max_bits).collect()}
+    assert got == {0: 0, 1: 1, 2: 0, 3: 0, 4: 0, 5: 0}
+
+
 def test_op6_drops_a_line_with_one_changed_word(spark, tmp_path):
     base = [f"w{i}" for i in range(10)]
     spark.createDataFrame([(1, " ".join(base)), (2, " ".join(["other", *base[1:]]))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
