@@ -266,6 +266,12 @@ def test_lines_of_one_simhash_meet_each_other(spark, max_bits):
     assert got == {0: 0, 1: 1, 2: 0, 3: 0, 4: 0, 5: 0}
 
 
+def test_lines_lose_marks_and_blanks_anywhere(spark):
+    texts = ["Home | About", "Home About", "home\u00a0about", "Home\x0b\u2013 About\f", "Terms, privacy", "\u201cTerms\u201d privacy\r"]
+    got = fuzzy_lines.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), max_bits=None)
+    assert {r["doc_id"]: r["n_removed"] for r in got.collect()} == {0: 0, 1: 1, 2: 1, 3: 1, 4: 0, 5: 1}
+
+
 def test_op6_drops_a_line_with_one_changed_word(spark, tmp_path):
     base = [f"w{i}" for i in range(10)]
     spark.createDataFrame([(1, " ".join(base)), (2, " ".join(["other", *base[1:]]))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
