@@ -54,6 +54,17 @@ def test_mix_places_every_row_once(spark, small, odd, none):
     assert mixing.mix(none).count() == 0
 
 
+@pytest.mark.parametrize("blocks, weights", [([30_000, 9_000, 5_000, 3_000, 2_000], [1732.05, 948.68, 707.1, 547.7, 447.2]), ([20_000] * 3 + [10_000], [0.7, 0.2, 0.0995, 0.0005])])
+def test_schedule_stays_within_a_block_over_many_periods(blocks, weights):
+    plan = mixing.schedule(blocks, weights)
+    first = [ph[0] for ph in plan]
+    end = min(ph[0][2] + max(ph[0][4]) for ph in plan if ph[0][1] == blocks[plan.index(ph)])
+    assert end > 10_000
+    for (_, _, _, _, slots), w in zip(first, weights, strict=True):
+        n = np.cumsum(np.bincount([x for x in slots if x < end], minlength=end)[:end])
+        assert (abs(n - np.arange(1, end + 1) * (w / sum(weights))) < 1).all()
+
+
 # 2. Language
 
 

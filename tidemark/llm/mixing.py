@@ -1,29 +1,33 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Every source is a periodic task whose share of the output is its target weight.  Its block number j (from 0) of a
-period of Q slots, of which the source owns q, may not be placed before floor(j Q / q) and must be placed before
-ceil((j + 1) Q / q); in each slot the released block of earliest deadline is taken.  Since the weights add up to one
-this always succeeds, and after any number of slots every source is less than one block from its share.
-
-The schedule repeats after Q slots, so only one period is simulated (Q grows with the number of sources, not with the
-data) and each block finds its slot by arithmetic.  When a source is used up the others go on with their weights
-renormalised, in a new phase.  No row is dropped or repeated.
+Every source is a periodic task whose share of the output is its target weight w, an exact fraction.  Its block number j
+(from 0) may not be placed before floor(j / w) and must be placed before ceil((j + 1) / w); in each slot the released
+block of earliest deadline is taken.  Since the weights add up to one this always succeeds, and after any number of
+slots every source is less than one block from its share.
+
+The whole schedule is simulated, one step for each block, and joined to the rows as a table of slots.  When a source is
+used up the others go on with their weights renormalised, in a new phase.  No row is dropped or repeated.  Of very many
+sources the small ones form pools: a pool is one source of the schedule, and mixed within by the same rule.
 """
 
 from __future__ import annotations
 
 import heapq
+from array import array
 from collections.abc import Mapping, Sequence
+from fractions import Fraction
+from math import lcm
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-#: Slots of a period for each source, at least; the error of a share is below one slot of the period.
-SLOTS_PER_SOURCE = 64
-#: Sources that one schedule takes; more of them should be pooled first.
-MAX_SOURCES = 2000
+#: Sources that one schedule takes, and a pool's; beyond them the smallest are pooled.
+MAX_SOURCES, POOL = 2000, 100
+#: Blocks in a row of the plan, and rows of a table up to which it is broadcast.
+PLAN_BLOCKS, BROADCAST_ROWS = 1024, 4096
 #: Rows that are ranked together.
 RANK_ROWS = 2_000
 
@@ -65,26 +69,68 @@ def period(quota: Sequence[int]) -> list[int]:
     return out
 
 
-def schedule(blocks: Sequence[int], weights: Sequence[float]) -> list[list[tuple[int, int, int, int, list[int]]]]:
-    """For each source its phases: first block, number of blocks, slot offset, period length, slots in the period."""
+def schedule(blocks: Sequence[int], weights: Sequence[float]) -> list[list[tuple[int, int, int, int, Sequence[int]]]]:
+    """For each source its phases: first block, number of blocks, slot offset, slots of the phase, its slots in the phase."""
+    exact = [Fraction(str(w)) if n > 0 else Fraction(0) for n, w in zip(blocks, weights, strict=True)]
+    whole = lcm(*[w.denominator for w in exact])
+    share = [w.numerator * (whole // w.denominator) for w in exact]
     left, done, offset = list(blocks), [0] * len(blocks), 0
-    out: list[list[tuple[int, int, int, int, list[int]]]] = [[] for _ in blocks]
+    out: list[list[tuple[int, int, int, int, Sequence[int]]]] = [[] for _ in blocks]
     while active := [s for s, n in enumerate(left) if n > 0]:
-        length = max(SLOTS_PER_SOURCE * len(active), 256) if len(active) > 1 else 1
-        slots: dict[int, list[int]] = {s: [] for s in active}
-        for t, k in enumerate(period(quotas([weights[s] for s in active], length))):
-            slots[active[k]].append(t)
-        last = {s: (left[s] - 1) // len(slots[s]) * length + slots[s][(left[s] - 1) % len(slots[s])] for s in active}
-        end = min(last.values()) + 1
+        slots = {s: array("q") for s in active}
+        if len(active) == 1:
+            slots[active[0]] = array("q", range(left[active[0]]))
+            end = left[active[0]]
+        else:
+            end = _phase(slots, {s: left[s] for s in active}, share)
         for s in active:
-            used = end // length * len(slots[s]) + sum(t < end % length for t in slots[s])
-            out[s].append((done[s], used, offset, length, slots[s]))
-            done[s] += used
-            left[s] -= used
+            if used := len(slots[s]):
+                out[s].append((done[s], used, offset, end, slots[s]))
+                done[s] += used
+                left[s] -= used
         offset += end
     return out
 
 
+def _phase(slots: dict[int, array], left: dict[int, int], share: Sequence[int]) -> int:
+    """Earliest deadline first until a source is used up; fills ``slots`` and returns their number."""
+    total = sum(share[s] for s in slots)
+    waiting = [(0, -(-total // share[s]), s, 0) for s in slots]  # release, deadline, source, block
+    heapq.heapify(waiting)
+    ready: list[tuple[int, int, int]] = []
+    t = 0
+    while True:
+        while waiting and waiting[0][0] <= t:
+            _, deadline, s, j = heapq.heappop(waiting)
+            heapq.heappush(ready, (deadline, s, j))
+        deadline, s, j = heapq.heappop(ready)
+        if deadline <= t:
+            raise AssertionError("a block missed its deadline")
+        slots[s].append(t)
+        t += 1
+        if j + 1 == left[s]:
+            return t
+        heapq.heappush(waiting, ((j + 1) * total // share[s], -(-(j + 2) * total // share[s]), s, j + 1))
+
+
+def places(blocks: Sequence[int], weights: Sequence[float], most: int = MAX_SOURCES) -> list[np.ndarray]:
+    """The slot of each block of each source; beyond ``most`` sources the smaller half of the entries are pools."""
+    some = [s for s, n in enumerate(blocks) if n > 0]
+    out = [np.zeros(0, np.int64) for _ in blocks]
+    if len(some) <= most:
+        for s, phases in enumerate(schedule(blocks, weights)):
+            out[s] = np.concatenate([out[s], *[np.frombuffer(p, np.int64) + o for _, _, o, _, p in phases]])
+        return out
+    some.sort(key=lambda s: (-weights[s], s))
+    alone, rest = some[: most // 2], some[most // 2 :]
+    entries = [[s] for s in alone] + [x.tolist() for x in np.array_split(np.array(rest), most - len(alone))]
+    of = places([sum(blocks[s] for s in e) for e in entries], [sum(Fraction(str(weights[s])) for s in e) for e in entries], most)
+    for entry, slots in zip(entries, of, strict=True):
+        for s, inner in zip(entry, places([blocks[s] for s in entry], [weights[s] for s in entry], POOL), strict=True):
+            out[s] = slots[inner]
+    return out
+
+
 def mix(docs: DataFrame, *, weights: Mapping[str | None, float] | None = None, exponent: float = 0.5, block_rows: int = 64, columns: Sequence[str] = ("doc_id", "source")) -> DataFrame:
     """Give every row its place in the mixture: rows ``*columns, block, slot, position``.
 
@@ -92,53 +138,48 @@ def mix(docs: DataFrame, *, weights: Mapping[str | None, float] | None = None, e
     are used up, in proportion to their blocks); by default a source of n rows weighs ``n ** exponent``.  A block is
     ``block_rows`` rows of one source in the order of a hash of doc_id, ``block`` its number in the source, ``slot`` its
     place in the schedule, and ``position`` the row's place, 0 to n - 1.  A null source is a source of its own; null and
-    repeated doc_ids are rows like others; an empty table gives no rows.  Needs ``doc_id`` and ``source``.
+    repeated doc_ids are rows like others; an empty table gives no rows.  Needs ``doc_id`` and ``source``.  Beyond
+    ``MAX_SOURCES`` sources the lighter ones keep their share within less than a block of their pool's blocks.
     """
     spark = docs.sparkSession
-    counts = sorted(((r["source"], r["n"]) for r in docs.groupBy("source").agg(F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()), key=lambda x: (x[0] is None, x[0] or ""))
-    if len(counts) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources: pool small ones")
+    counts = sorted(((r["source"], r["n"]) for r in docs.groupBy(F.col("source").cast("string").alias("source")).agg(F.count("*").alias("n")).collect()), key=lambda x: (x[0] is None, x[0] or ""))
     blocks = [-(-n // block_rows) for _, n in counts]
     weight = [n**exponent if weights is None else max(0.0, weights.get(s, 0.0)) for s, n in counts]
-    first = schedule([b if w > 0 else 0 for b, w in zip(blocks, weight, strict=True)], weight)
-    then = schedule([0 if w > 0 else b for b, w in zip(blocks, weight, strict=True)], [float(b) for b in blocks])
-    used = max([0, *(o + _slots_before(c, q, p) for ph in first for _, c, o, q, p in ph)])
-    plan = [a or [(f, c, o + used, q, p) for f, c, o, q, p in b] for a, b in zip(first, then, strict=True)]
+    first = places([b if w > 0 else 0 for b, w in zip(blocks, weight, strict=True)], weight)
+    then = places([0 if w > 0 else b for b, w in zip(blocks, weight, strict=True)], [float(b) for b in blocks])
+    used = sum(map(len, first))
+    slots = [a if len(a) else b + used for a, b in zip(first, then, strict=True)]
     # A source's last block may be short; rows behind it move up.
-    short = []
-    for (_, n), phases in zip(counts, plan, strict=True):
-        if n % block_rows:
-            f, c, o, q, p = phases[-1]
-            short.append((o + (c - 1) // len(p) * q + p[(c - 1) % len(p)], block_rows - n % block_rows))
-    phase = T.ArrayType(T.StructType([T.StructField(x, T.LongType()) for x in ("first", "count", "offset", "length")] + [T.StructField("slots", T.ArrayType(T.LongType()))]))
-    known = T.StructType([T.StructField("__source", T.StringType()), T.StructField("__parts", T.LongType()), T.StructField("__phases", phase)])
-    table = spark.createDataFrame([(s, -(-n // RANK_ROWS), ph) for (s, n), ph in zip(counts, plan, strict=True)], known)
+    short = sorted((int(a[-1]), block_rows - n % block_rows) for (_, n), a in zip(counts, slots, strict=True) if n % block_rows)
+    moved = np.cumsum([0, *[n for _, n in short]])
+    short_at = np.array([at for at, _ in short], np.int64)
+    names, chunks, at_, start_ = [], [], [], []
+    for (s, _), a in zip(counts, slots, strict=True):
+        for k in range(0, len(a), PLAN_BLOCKS):
+            part = a[k : k + PLAN_BLOCKS]
+            names.append(s), chunks.append(k // PLAN_BLOCKS), at_.append(part), start_.append(part * block_rows - moved[np.searchsorted(short_at, part)])
+    ends = pa.array(np.cumsum([0, *map(len, at_)]).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *x]))) for x in (at_, start_)]
+    plan = _table(spark, pa.table({"__source": pa.array(names, pa.string()), "__chunk": pa.array(chunks, pa.int64()), "__slots": lists[0], "__starts": lists[1]}))
+    table = _table(spark, pa.table({"__source": pa.array([s for s, _ in counts], pa.string()), "__parts": pa.array([-(-n // RANK_ROWS) for _, n in counts], pa.int64())}))
     rows = docs.select(*[F.col(c) for c in columns], F.col("source").cast("string").alias("__s"), F.xxhash64("doc_id").alias("__h"), F.col("doc_id").alias("__d"))
-    rows = rows.join(F.broadcast(table.select("__source", "__parts")), F.col("__s").eqNullSafe(F.col("__source")))  # MAX_SOURCES rows at most
+    rows = rows.join(table, F.col("__s").eqNullSafe(F.col("__source")))
     rows = rows.withColumn("__part", F.pmod("__h", "__parts"))
     # Rank within parts of a source, then add the sizes of the parts before: no task holds a whole source.
     ranked = rows.withColumn("__rank", F.row_number().over(Window.partitionBy("__s", "__part").orderBy("__h", "__d")))
     sizes = docs.select(F.col("source").cast("string").alias("__s"), F.xxhash64("doc_id").alias("__h"))
-    sizes = sizes.join(F.broadcast(table.select("__source", "__parts")), F.col("__s").eqNullSafe(F.col("__source")))
+    sizes = sizes.join(table, F.col("__s").eqNullSafe(F.col("__source")))
     sizes = sizes.groupBy("__s", F.pmod("__h", "__parts").alias("__part")).agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.partitionBy("__s").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select(F.col("__s").alias("__s2"), F.col("__part").alias("__p2"), before.alias("__before"))
     ranked = ranked.join(offsets, F.col("__s").eqNullSafe(F.col("__s2")) & (F.col("__part") == F.col("__p2")))
-    placed = ranked.withColumn("__r", F.col("__before") + F.col("__rank") - 1).withColumn("block", F.floor(F.col("__r") / block_rows))
-    placed = placed.drop("__source", "__parts").join(F.broadcast(table.select("__source", "__phases")), F.col("__s").eqNullSafe(F.col("__source")))
-    now = "element_at(filter(__phases, p -> block >= p.first and block < p.first + p.count), 1)"
-    placed = placed.withColumn("__p", F.expr(now)).withColumn("__j", F.expr("block - __p.first"))
-    slot = "__p.offset + __j div size(__p.slots) * __p.length + __p.slots[cast(__j % size(__p.slots) as int)]"
-    placed = placed.withColumn("slot", F.expr(slot))
-    gap = " + ".join([f"if(slot > {at}L, {n}L, 0L)" for at, n in short]) if len(short) <= 100 else None
-    if gap is None:
-        gaps = F.array(*[F.struct(F.lit(at).alias("at"), F.lit(n).alias("n")) for at, n in short])
-        moved = F.aggregate(F.filter(gaps, lambda g: g["at"] < F.col("slot")), F.lit(0).cast("bigint"), lambda a, g: a + g["n"])
-    else:
-        moved = F.expr(gap or "0L")
-    return placed.select(*columns, F.col("block").cast("bigint").alias("block"), "slot", (F.col("slot") * block_rows + F.col("__r") % block_rows - moved).alias("position"))
-
-
-def _slots_before(count: int, length: int, slots: list[int]) -> int:
-    """Slots up to and with the last of ``count`` blocks; 0 for none."""
-    return (count - 1) // len(slots) * length + slots[(count - 1) % len(slots)] + 1 if count else 0
+    placed = ranked.drop("__source", "__parts").withColumn("__r", F.col("__before") + F.col("__rank") - 1).withColumn("block", F.floor(F.col("__r") / block_rows))
+    placed = placed.join(plan, F.col("__s").eqNullSafe(F.col("__source")) & (F.floor(F.col("block") / PLAN_BLOCKS) == F.col("__chunk")))
+    in_chunk = f"cast(block % {PLAN_BLOCKS} as int)"
+    return placed.select(*columns, F.col("block").cast("bigint").alias("block"), F.expr(f"__slots[{in_chunk}]").alias("slot"), (F.expr(f"__starts[{in_chunk}]") + F.col("__r") % block_rows).alias("position"))
+
+
+def _table(spark: SparkSession, rows: pa.Table) -> DataFrame:
+    """A small table is broadcast; a large one is joined by shuffle if Spark so decides."""
+    df = spark.createDataFrame(rows)
+    return F.broadcast(df) if rows.num_rows <= BROADCAST_ROWS else df
