@@ -65,6 +65,15 @@ def test_schedule_stays_within_a_block_over_many_periods(blocks, weights):
         assert (abs(n - np.arange(1, end + 1) * (w / sum(weights))) < 1).all()
 
 
+def test_mix_takes_any_number_of_sources(spark):
+    n = mixing.MAX_SOURCES + 300
+    df = spark.range(n + 5000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.when(F.col("id") < n, F.col("id")).otherwise(0)).alias("source"))
+    got = mixing.mix(df, block_rows=2).toPandas()
+    assert sorted(got["position"]) == list(range(n + 5000)) and got["source"].nunique() == n
+    b = got.groupby("slot").agg(k=("source", "nunique"), n=("block", "nunique"))
+    assert (b == 1).all().all() and got.sort_values("position")["slot"].is_monotonic_increasing
+
+
 # 2. Language
 
 
