@@ -487,12 +487,12 @@ def corr_inputs(spark, d):
 
 @_query()
 def elasticnet_oos(spark, d):
-    return _oos(spark, d, {"elasticnet": models.elastic_net(n_alphas=10)})
+    return _oos(spark, d, {"elasticnet": models.elastic_net(n_alphas=40)})
 
 
 @_query()
 def gbt_oos(spark, d):
-    return _oos(spark, d, {"gbt": models.boosted_trees(rounds=30)})
+    return _oos(spark, d, {"gbt": models.boosted_trees(rounds=300)})
 
 
 def _oos(spark: SparkSession, d: str, some: dict) -> DataFrame:
@@ -568,4 +568,4 @@ def dfm_factor_pit(spark, d):
 
 @_query()
 def dfm_factor_recursive(spark, d):
-    return factor.cycle_factor_recursive(_inputs(spark, d), reference="rev_asia", min_months=48, step=4)
+    return factor.cycle_factor_recursive(_inputs(spark, d), reference="rev_asia", min_months=48)
