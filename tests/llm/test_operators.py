@@ -89,6 +89,21 @@ def test_language_held_out_accuracy_and_odd_rows(spark, odd, none):
     assert {r["lang_pred"] for r in language.identify(odd, untaught).collect()} == {"und"}
 
 
+def test_every_labelled_language_is_learned(spark):
+    g = np.random.default_rng(5)
+    langs = [f"l{i:02d}" for i in range(70)]
+    words = {x: ["".join(g.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(8)] for x in langs}
+    text = {x: " ".join(g.choice(words[x], 30)) for x in langs}
+    text["l03"] = " ".join(g.choice(words["l03"], 4000))  # no short text
+    rows = [(None if x == "l05" else i, text[x], x) for i, x in enumerate(langs)]
+    rows += [(1000 + i, text[x], x) for i, x in enumerate(langs[:9]) if x not in ("l03", "l05")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = language.training_sample(df)
+    assert sorted(sample) == langs and max(len(t) for x in sample.values() for t in x) == 16_384
+    got = language.identify(df, language.fit(sample), keep=("lang",)).collect()
+    assert all(r["lang"] == r["lang_pred"] for r in got)
+
+
 def test_held_out_is_the_crc(spark):
     got = spark.range(40).select(F.col("id").alias("doc_id")).select("doc_id", language.held_out().alias("h")).collect()
     assert all(r["h"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got)

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import map_batches
+from ._common import map_batches, text_key
 
 UNIT = 1024
 _LETTER = regex.compile(r"\p{L}")
@@ -77,9 +77,10 @@ class Model:
         starts = np.concatenate([[0], np.cumsum(sizes + self.order)[:-1]]) + self.order if len(texts) else sizes
         of = np.repeat(np.arange(len(texts)), sizes)
         at = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(starts, sizes)
-        for lo in range(0, len(at), _CHUNK):
-            cost = self._costs(buf, at[lo : lo + _CHUNK])
-            text = of[lo : lo + _CHUNK]
+        chunk = max(1024, _CHUNK * 64 // max(64, len(self.langs)))  # costs of all languages stay in memory
+        for lo in range(0, len(at), chunk):
+            cost = self._costs(buf, at[lo : lo + chunk])
+            text = of[lo : lo + chunk]
             first = np.nonzero(np.diff(text, prepend=-1))[0]
             out[text[first]] += np.add.reduceat(cost, first, axis=0, dtype=np.int64)
         return out
@@ -166,22 +167,27 @@ def fit(samples: dict[str, list[bytes]], order: int = 4) -> Model:
     return Model(langs, order, grams, escapes)
 
 
-def training_sample(docs: DataFrame, *, docs_per_lang: int = 300, max_bytes: int = 16_384, max_langs: int = 64) -> dict[str, list[bytes]]:
+def training_sample(docs: DataFrame, *, docs_per_lang: int = 300, max_bytes: int = 16_384, full_langs: int = 64) -> dict[str, list[bytes]]:
     """A bounded sample of the labelled rows of ``docs`` (doc_id, text, lang), drawn by a hash of doc_id.
 
-    At most ``docs_per_lang`` texts of at most ``max_bytes`` bytes for each of the ``max_langs`` commonest
-    languages; the per-language limit is applied in every task before anything is shuffled.
+    Every labelled language is learned, from at most ``docs_per_lang`` texts; with more than ``full_langs`` languages from
+    fewer, at least one, so that n-grams times languages stay bounded.  Texts of at most ``max_bytes`` bytes come first;
+    of longer ones, where those are too few, the first ``max_bytes`` bytes are used.  The per-language limit is applied
+    in every task before anything is shuffled.
     """
-    rows = docs.select("doc_id", "text", "lang").where("text is not null and lang is not null and octet_length(text) > 0")
-    small = rows.where(F.octet_length("text") <= max_bytes)
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = small.select("lang", "doc_id").withColumn("k", F.row_number().over(first)).where(F.col("k") <= docs_per_lang).collect()
-    langs = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()]
-    wanted = sorted({r["doc_id"] for r in ids if r["lang"] in langs and r["doc_id"] is not None})
+    key = text_key(F.col("doc_id"), F.col("text"))
+    rows = docs.select("doc_id", "text", "lang", key.alias("key")).where("text is not null and lang is not null and octet_length(text) > 0")
+    n_langs = max(1, rows.select("lang").distinct().count())
+    most = docs_per_lang if n_langs <= full_langs else max(1, docs_per_lang * full_langs**2 // n_langs**2)
+    first = Window.partitionBy("lang").orderBy("long", F.xxhash64("doc_id"), "doc_id", "key")
+    ranked = rows.select("lang", "doc_id", "key", (F.octet_length("text") > max_bytes).alias("long")).withColumn("k", F.row_number().over(first))
+    wanted = sorted({r["key"] for r in ranked.where(F.col("k") <= most).select("key").collect()})
+    part = F.substring(F.col("text").cast("binary"), 1, max_bytes).alias("part")
     out: dict[str, list[bytes]] = {}
-    for r in small.where(F.col("doc_id").isin(wanted)).where(F.col("lang").isin(langs)).orderBy("lang", "doc_id", "text").limit(docs_per_lang * max_langs).collect():
-        if len(mine := out.setdefault(r["lang"], [])) < docs_per_lang:
-            mine.append(r["text"].encode())
+    chosen = rows.where(F.col("key").isin(wanted)).select("lang", "doc_id", "key", part).dropDuplicates(["lang", "key"])
+    for r in chosen.orderBy("lang", "doc_id", "key").collect():
+        if len(mine := out.setdefault(r["lang"], [])) < most:
+            mine.append(bytes(r["part"]))
     return out
 
 
