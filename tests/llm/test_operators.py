@@ -203,6 +203,16 @@ def test_substrings_odd_rows(spark, odd, none):
     assert exact_substrings.remove_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize("more", [0, 19, 20, 30, 49, 50])
+def test_anchors_behind_a_whole_number_of_chunks(monkeypatch, more):
+    monkeypatch.setattr(exact_substrings, "CHUNK", 1000)
+    data = np.concatenate([np.random.default_rng(6).integers(0, 256, 3000 + more - 40), np.full(40, 7)]).astype(np.uint8)
+    got = exact_substrings.anchors(data, 50, 20)
+    monkeypatch.setattr(exact_substrings, "CHUNK", 1 << 18)
+    want = exact_substrings.anchors(data, 50, 20)
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(got, want, strict=True))
+
+
 def test_suffix_sort_orders_and_verifies():
     g = np.random.default_rng(0)
     ctx = g.integers(97, 99, (200, 30)).astype(np.uint8)

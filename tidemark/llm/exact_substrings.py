@@ -47,7 +47,7 @@ def _extreme(h: np.ndarray, w: int, op) -> np.ndarray:
 def anchors(data: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the seeds that are least in some window of ``length`` bytes, and their hashes."""
     w, at, of = length - seed + 1, [], []
-    for lo in range(0, max(0, len(data) - length + 1), CHUNK):
+    for lo in range(0, len(data) - seed + 1 if len(data) >= length else 0, CHUNK):  # anchors may stand behind the last window's start
         part = data[max(0, lo - length) : lo + CHUNK + 2 * length]
         shift = max(0, lo - length)
         p = prefix_hash(part)
