@@ -72,17 +72,39 @@ def partitions(spark: SparkSession) -> int:
 def work_dir(spark: SparkSession) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, which every executor and the driver share.
 
-    Only where that setting is missing (tests on one machine) is a folder of our own used.
+    Only where that setting is missing on one machine (tests) is a folder of our own used.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tidemark-work"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = "/tmp/tidemark-work"
     return f"{root.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
 
 
+#: Drops a query's shuffle files once it has ended; what is written to a work folder needs them no longer.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Cut the lineage: write to the shared folder and read again."""
-    path = work_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, work_dir(df.sparkSession)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Remove the work folder of a ``saved`` table that nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.saved_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
