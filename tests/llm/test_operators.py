@@ -1,6 +1,7 @@
 """Each operator against brute force or an exact round trip, and on odd rows and empty tables."""
 
 import hashlib
+import html
 import re
 import zlib
 from collections import Counter
@@ -137,6 +138,36 @@ def test_html_without_article():
     assert got.startswith("Head\nLong") and got.endswith("\nok") and got.count("\n") == 5
 
 
+def test_html_wrappers_do_not_empty_a_page():
+    text = "Words of the article go on for a while. " * 5
+    for wrapper in ("layout with-sidebar", "post comments-open"):
+        assert html_text.main_text(f"<body><div class='{wrapper}'><article><h1>H</h1><p>{text}</p></article><div class='sidebar'>side</div></div><p>left</p></body>") == f"H\n{text.strip()}"
+        got = html_text.main_text(f"<div class='{wrapper}'><div><p>{text}</p></div><div class='comments'><p>{text}{text}</p></div></div>")
+        assert got == text.strip()
+    # Comments stay out even where they are articles and longer than the article.
+    assert html_text.main_text(f"<main><p>{text}</p></main><div id='comments'><article>{text}{text}</article></div>") == text.strip()
+    inner = f"<div class='post comments-open'><article><p>{text}</p><section class='comments'>{text}{text}</section></article></div>"
+    assert html_text.main_text(inner) == text.strip()
+
+
+def test_html_math_inside_the_article_stays():
+    assert html_text.main_text("<article><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p></article>") == "so x=2 holds"
+
+
+def test_html_threshold_decides(monkeypatch):
+    """Where no name says so, the smoothed ratio tells content from the rest; without the threshold all of it stays."""
+    links = "".join(f"<a href='/{i}'>l{i}</a> " for i in range(12))
+    text = "".join(f"<p>{'Sentences that a reader came for, one after the other. ' * 4}</p>" for _ in range(5))
+    plain = f"<body><div>{links}</div><div>{links}</div><div>{text}</div><div>{links}</div><div>{links}</div><div>Copyright 2020 all</div></body>"
+    cards = f"<body><article><h2>{links}</h2></article><article><p>{links}</p></article><article>{text}</article><article>{links}</article><article>{links}</article></body>"
+    want = "\n".join(["Sentences that a reader came for, one after the other. " * 4] * 5).replace(" \n", "\n").strip()
+    assert html_text.main_text(plain) == want == html_text.main_text(cards)
+    # An article element of links only does not win over a container of text.
+    assert html_text.main_text(f"<body><article>{links}</article><div>{links}</div><div>{text}</div></body>") == want
+    monkeypatch.setattr(html_text, "threshold", lambda values: float("-inf"))
+    assert "l3" in html_text.main_text(plain) and "l3" in html_text.main_text(cards) and "Copyright" in html_text.main_text(plain)
+
+
 def test_html_pages(spark, small, none):
     got = html_text.extract(spark.read.parquet(f"{small}/pages.parquet")).collect()
     assert len(got) == 50 and all(len(r["text"]) == r["n_chars"] > 0 for r in got)
@@ -145,6 +176,21 @@ def test_html_pages(spark, small, none):
     assert html_text.extract(o.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_html_pages_equal_the_article_element(spark, sf):
+    """Of the test pages, which have one article each, an independent reading by regular expressions."""
+
+    def want(page):
+        inner = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+        parts = [re.sub(r"<[^>]*>", "", x.replace("<br>", " ")) for x in re.split(r"</?(?:p|h1|ul|li)>", inner)]
+        return "\n".join(x for p in parts if (x := " ".join(html.unescape(p).split())))
+
+    pages = spark.read.parquet(f"/root/testdata/sf{sf}/pages.parquet")
+    texts = {r["page_id"]: r["html"] for r in pages.collect()}
+    got = {r["page_id"]: r["text"] for r in html_text.extract(pages).collect()}
+    assert got == {i: want(t) for i, t in texts.items()}
+
+
 # 4. Hamming search
 
 
