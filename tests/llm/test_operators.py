@@ -485,13 +485,49 @@ def test_quality_on_held_out_labels(spark, odd, none):
 
 
 def test_sparse_sites_shrink(spark):
-    rows = [(i, "same text here", "en", "big" if i < 400 else "tiny") for i in range(402)]
+    rows = [(i, f"same text {i} here", "en", "big" if i < 400 else "tiny") for i in range(402)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     labels = spark.createDataFrame([(i, int(i % 4 > 0) if i < 400 else 0) for i in range(402)], "doc_id long, quality int")
     got = {r["doc_id"]: r for r in quality.score(df, labels).collect()}
     assert abs(got[1]["host_share"] - 0.75) < 0.05 and got[401]["host_share"] > 0.05
 
 
+def test_shares_equal_brute_force(spark):
+    """Neither a document nor a copy of its text counts; priors by moments, paths within their hosts."""
+    g = np.random.default_rng(5)
+    rows = [(i, f"text {i if i % 5 else i % 3}", str(g.choice(["en", "de", "fr"])), str(g.choice(["a", "b", "c", "d"], p=[0.6, 0.2, 0.15, 0.05]))) for i in range(400)]
+    share = {"a": 0.9, "b": 0.3, "c": 0.6, "d": 0.5}
+    good = {i: int(g.random() < share[s] - 0.2 * (lang == "de")) for i, _, lang, s in rows if i % 2}
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in quality.score(df, spark.createDataFrame(list(good.items()), "doc_id long, quality int")).collect()}
+    value = {i: good.get(i, 1 / (1 + np.exp(-got[i]["evidence"]))) for i, *_ in rows}
+
+    def strength(groups):
+        """Of lists of sites, each a list of values: pooled within the lists."""
+        between = free = noise = total = 0
+        for sites in groups:
+            t = sum(map(len, sites))
+            m = sum(map(sum, sites)) / t
+            between += sum(sum(s) ** 2 / len(s) for s in sites) - t * m * m - (len(sites) - 1) * m * (1 - m)
+            free += t - sum(len(s) ** 2 for s in sites) / t
+            noise, total = noise + t * m * (1 - m), total + t
+        v = max(0, between) / free
+        return min(10_000, max(1, noise / total / v - 1)) if v else 10_000
+
+    by_path = {}
+    for i, _, lang, source in rows:
+        by_path.setdefault(source, {}).setdefault(lang, []).append(value[i])
+    strong = strength([[sum(p.values(), []) for p in by_path.values()]])
+    strong_path = strength([list(p.values()) for p in by_path.values()])
+    mean = sum(value.values()) / len(value)
+    for i, text, lang, source in rows:
+        site = [value[j] for j, t, _, s in rows if s == source and t != text]
+        path = [value[j] for j, t, x, s in rows if s == source and x == lang and t != text]
+        host_share = (sum(site) + strong * mean) / (len(site) + strong)
+        assert got[i]["host_share"] == pytest.approx(host_share)
+        assert got[i]["path_share"] == pytest.approx((sum(path) + strong_path * host_share) / (len(path) + strong_path))
+
+
 # 10. BPE
 
 

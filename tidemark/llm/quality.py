@@ -8,8 +8,9 @@ Three levels of evidence meet on the scale of log odds:
 * Path.  The same for a part of the host, shrunk towards the host's share.
 
 The strength of each prior (in documents) is itself estimated from all sites by moments: how much the shares of
-sites differ beyond what their sizes explain.  A sparse site thus takes its parent's share, a large one keeps its own.
-A document never counts in the shares that it is judged by.  Sites are only ever aggregated.
+sites differ beyond what their sizes explain, paths within their hosts.  A sparse site thus takes its parent's share, a
+large one keeps its own.  Neither a document nor a copy of its text counts in the shares that it is judged by.  Sites
+are only ever aggregated.
 """
 
 from __future__ import annotations
@@ -108,17 +109,18 @@ def _odds(p: Column) -> Column:
 
 
 def prior_strength(sites: DataFrame, *by: str) -> DataFrame:
-    """Documents that the Beta prior over sites counts for, by moments, over groups ``by`` of sites (good, n).
+    """One row ``mean, strength``: the documents that the Beta prior over sites (good, n) counts for, by moments.
 
-    Between-site variance v of the shares against binomial noise: strength = m (1 - m) / v - 1, from 1 to 10,000.
+    With ``by`` sites are compared within their groups only.  Variance v of the shares between sites, beyond binomial
+    noise: strength = m (1 - m) / v - 1, from 1 to 10,000.
     """
     total = sites.groupBy(*by).agg(F.sum("good").alias("g"), F.sum("n").alias("t"), F.sum(F.col("good") * F.col("good") / F.col("n")).alias("gg"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.count("*").alias("k"))
     m = F.col("g") / F.col("t")
-    within = (F.col("k") - 1) * m * (1 - m)
-    between = F.greatest(F.lit(0.0), F.col("gg") - F.col("t") * m * m - within)
-    spread = F.try_divide(between, F.col("t") - F.col("nn") / F.col("t"))
-    strength = F.coalesce(F.try_divide(m * (1 - m), spread) - 1, F.lit(10_000.0))
-    return total.select(*by, m.alias("mean"), F.greatest(F.lit(1.0), F.least(F.lit(10_000.0), strength)).alias("strength"))
+    between = F.col("gg") - F.col("t") * m * m - (F.col("k") - 1) * m * (1 - m)
+    all_ = total.agg(F.sum("g").alias("g"), F.sum("t").alias("t"), F.sum(F.col("t") * m * (1 - m)).alias("noise"), F.sum(between).alias("between"), F.sum(F.col("t") - F.col("nn") / F.col("t")).alias("free"))
+    spread = F.try_divide(F.greatest(F.lit(0.0), F.col("between")), F.col("free"))
+    strength = F.coalesce(F.try_divide(F.try_divide("noise", "t"), spread) - 1, F.lit(10_000.0))
+    return all_.select((F.col("g") / F.col("t")).alias("mean"), F.greatest(F.lit(1.0), F.least(F.lit(10_000.0), strength)).alias("strength"))
 
 
 def score(docs: DataFrame, labels: DataFrame, *, host: Column | None = None, path: Column | None = None, threshold: float = 0.5) -> DataFrame:
@@ -127,37 +129,37 @@ def score(docs: DataFrame, labels: DataFrame, *, host: Column | None = None, pat
     ``labels`` has doc_id and quality (0 or 1); rows with nulls there are unlabelled, and of several labels the smallest
     counts.  ``host`` and ``path`` default to the source and to the language within it; null is a site like others.
     ``quality`` is the probability of being good, ``keep`` whether it reaches ``threshold``.  A null or empty text has
-    measures of 0; null ids are unlabelled; repeated rows are scored alike.  Without labels every score is 1/2 at least.
+    measures of 0; null ids are unlabelled; repeated rows are scored alike.  Without labels every score is 1/2.
     """
     host = F.col("source") if host is None else host
     path = F.col("lang") if path is None else path
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(F.col("quality").cast("double")).alias("label"))
-    rows = docs.select("doc_id", "text", F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.coalesce(path.cast("string"), F.lit("")).alias("path"))
-    x = measured(rows, "doc_id", "host", "path").join(known, "doc_id", "left")
-    x = saved(x)
+    rows = docs.select("doc_id", "text", F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.coalesce(path.cast("string"), F.lit("")).alias("path"), F.xxhash64("text").alias("copy"))
+    x = saved(measured(rows, "doc_id", "host", "path", "copy").join(known, "doc_id", "left"))
     sample = x.where("label is not null").orderBy(F.xxhash64("doc_id"), "doc_id").select("x", "label").limit(SAMPLE_ROWS).toArrow()
     data = np.array(sample["x"].to_pylist(), np.float64).reshape(-1, len(MEASURES))
     model = fit(data, np.array(sample["label"].to_pylist(), np.float64))
 
     def judge(batch: pa.RecordBatch) -> dict:
-        odds = model.log_odds(np.array(batch.column(4).to_pylist(), np.float64).reshape(-1, len(MEASURES)))
-        return {n: batch.column(i) for i, n in enumerate(("doc_id", "host", "path", "label"))} | {"evidence": odds}
-
-    judged = map_batches(x.select("doc_id", "host", "path", "label", "x"), judge, "doc_id bigint, host string, path string, label double, evidence double")
-    judged = judged.withColumn("good", F.coalesce("label", 1 / (1 + F.exp(-F.col("evidence")))))
-    judged = saved(judged)
-    paths = judged.groupBy("host", "path").agg(F.sum("good").alias("good"), F.count("*").alias("n"))
-    hosts = paths.groupBy("host").agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
-    top = prior_strength(hosts).first()
-    mean, strong = (top["mean"], top["strength"]) if top and top["mean"] is not None else (0.5, 1.0)
-    deep = prior_strength(paths).first()
-    strong_path = deep["strength"] if deep and deep["mean"] is not None else 1.0
-    sites = paths.join(hosts.select("host", F.col("good").alias("host_good"), F.col("n").alias("host_n")), "host")
-    both = judged.join(sites.withColumnsRenamed({"good": "path_good", "n": "path_n"}), ["host", "path"])
-    own = F.col("good")
-    host_share = (F.col("host_good") - own + strong * F.lit(mean)) / (F.col("host_n") - 1 + strong)
-    both = both.withColumn("host_share", host_share)
-    both = both.withColumn("path_share", (F.col("path_good") - own + strong_path * F.col("host_share")) / (F.col("path_n") - 1 + strong_path))
+        odds = model.log_odds(np.array(batch.column(5).to_pylist(), np.float64).reshape(-1, len(MEASURES)))
+        return {n: batch.column(i) for i, n in enumerate(("doc_id", "host", "path", "copy", "label"))} | {"evidence": odds}
+
+    judged = map_batches(x.select("doc_id", "host", "path", "copy", "label", "x"), judge, "doc_id bigint, host string, path string, copy bigint, label double, evidence double")
+    judged = saved(judged.withColumn("good", F.coalesce("label", 1 / (1 + F.exp(-F.col("evidence"))))))
+    sums = [F.sum("good").alias("good"), F.sum("n").alias("n")]
+    copies = judged.withColumn("n", F.lit(1)).groupBy("host", "path", "copy").agg(*sums)
+    paths = saved(copies.groupBy("host", "path").agg(*sums))
+    hosts = paths.groupBy("host").agg(*sums)
+    top, deep = prior_strength(hosts).first(), prior_strength(paths, "host").first()
+    mean, strong, strong_path = (top["mean"], top["strength"], deep["strength"]) if top["mean"] is not None else (0.5, 1.0, 1.0)
+    sites = paths.withColumnsRenamed({"good": "path_good", "n": "path_n"}).join(hosts.withColumnsRenamed({"good": "host_good", "n": "host_n"}), "host")
+    own = copies.withColumnsRenamed({"good": "own_path", "n": "own_path_n"})
+    # A text that a host has once is all of its copies; only for others are the copies' sums joined.
+    repeated = own.join(copies.groupBy("host", "copy").agg(F.sum("good").alias("own_host"), F.sum("n").alias("own_host_n")).where("own_host_n > 1"), ["host", "copy"])
+    both = judged.join(sites, ["host", "path"]).join(repeated, ["host", "path", "copy"], "left")
+    less = lambda name, other: F.coalesce(F.col(name), other)
+    both = both.withColumn("host_share", (F.col("host_good") - less("own_host", F.col("good")) + strong * F.lit(mean)) / (F.col("host_n") - less("own_host_n", F.lit(1)) + strong))
+    both = both.withColumn("path_share", (F.col("path_good") - less("own_path", F.col("good")) + strong_path * F.col("host_share")) / (F.col("path_n") - less("own_path_n", F.lit(1)) + strong_path))
     odds = F.col("evidence") + _odds(F.col("path_share")) - _odds(F.lit(float(mean)))
     both = both.withColumn("quality", 1 / (1 + F.exp(-odds)))
     return both.select("doc_id", "evidence", "host_share", "path_share", "quality", (F.col("quality") >= threshold).alias("keep"))
