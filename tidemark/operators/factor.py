@@ -183,3 +183,9 @@ def cycle_factor_recursive(inputs: DataFrame, *, reference: str, order: int = 2,
             yield pd.DataFrame(out, columns=["date", "factor", "error"])
 
     return folds.repartition(max(1, spark.sparkContext.defaultParallelism), "date").mapInPandas(run, "date date, factor double, error string")
+
+
+def compare_factors(filtered: DataFrame, recursive: DataFrame) -> DataFrame:
+    """Two estimates of the factor in the months that both have: ``months, corr``."""
+    both = filtered.select("date", F.col("factor").alias("a")).join(recursive.select("date", F.col("factor").alias("b")), "date").na.drop()
+    return both.agg(F.count("*").alias("months"), F.corr("a", "b").alias("corr"))

@@ -64,6 +64,18 @@ def build_features(tidy: DataFrame, *, target_series: str, price_prefix: str = "
     return out.withColumn("value", tr.null_if_not_finite("value"))
 
 
+def cycle_factor_features(features: DataFrame, factor: DataFrame) -> DataFrame:
+    """The factor (``date, factor``) and its changes over 3 and 6 rows on the panel's own months; long.
+
+    Months without a factor have NULL, as have changes from or to such a month.
+    """
+    w = Window.orderBy("date")  # one factor, one row a month
+    x = features.select("date").distinct().join(factor.select("date", "factor"), "date", "left")
+    x = x.select("date", F.col("factor").alias("cycle_factor"), *[tr.difference("factor", w, k).alias(f"cycle_factor__chg{k}") for k in (3, 6)])
+    names = ("cycle_factor", "cycle_factor__chg3", "cycle_factor__chg6")
+    return x.select("date", F.inline(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("value")) for n in names])))
+
+
 def relative_momentum(rows: DataFrame, left: str, right: str, *, min_periods: int = 24) -> DataFrame:
     """Six-month momentum of one series minus another's, and its expanding z-score; long."""
     both = rows.where(F.col("series").isin(left, right)).groupBy("date").agg(F.max(F.when(F.col("series") == left, F.col("mom6"))).alias("l"), F.max(F.when(F.col("series") == right, F.col("mom6"))).alias("r"))

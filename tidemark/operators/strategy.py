@@ -38,6 +38,12 @@ def cycle_signal(factor: DataFrame, configs: DataFrame, *, min_periods: int = 36
     return z.join(F.broadcast(configs), how="cross").select("cfg_pos", "date", signal.alias("signal"))
 
 
+def nowcast_signal(oos: DataFrame, *, model: str, min_periods: int = 36) -> DataFrame:
+    """Each out-of-sample prediction against all before it, as a z-score: ``cfg_pos, date, signal`` (one configuration, 0)."""
+    w = Window.orderBy("date")  # one row a month
+    return oos.select(F.lit(0).alias("cfg_pos"), "date", tr.expanding_z(model, w, min_periods).alias("signal"))
+
+
 def timing_weight(signal: DataFrame, *, base: float = 0.75, gain: float = 0.25, low: float = 0.0, high: float = 1.25) -> DataFrame:
     """``weight`` = base + gain * signal within bounds; NULL without a signal."""
     return signal.withColumn("weight", tr.clip(F.lit(base) + F.lit(gain) * F.col("signal"), low, high)).drop("signal")
@@ -116,6 +122,23 @@ def common_dates(*runs: DataFrame) -> DataFrame:
     return out
 
 
+def buy_and_hold(returns: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
+    """A weight of 1 in every month that has a return: ``cfg_pos, date, weight``."""
+    w = returns.where("ret is not null").select(F.lit(0).alias("cfg_pos"), "date", F.lit(1.0).alias("weight"))
+    return w if start is None else restrict_weights(w, start, end or "9999-12-31")
+
+
+def on_common_dates(runs: dict[str, DataFrame], ret: str = "strategy_ret") -> DataFrame:
+    """The returns of several runs in the months that all of them have: ``run, date, ret, cum``."""
+    rows = [r.where(F.col(ret).isNotNull()).select(F.lit(n).alias("run"), "date", F.col(ret).alias("ret")) for n, r in runs.items()]
+    every = rows[0]
+    for r in rows[1:]:
+        every = every.unionByName(r)
+    # One row a month and run, so that counting says which months are complete; the runs are read once.
+    full = every.withColumn("runs", F.count("*").over(Window.partitionBy("date"))).where(F.col("runs") == len(rows)).drop("runs")
+    return full.withColumn("cum", tr.cumulative_growth("ret", tr.series_window("run")))
+
+
 def activity(backtest: DataFrame, *, periods: int = PERIODS) -> DataFrame:
     """Annual turnover and share of months invested: ``cfg_pos, annual_turnover, time_invested``."""
     return backtest.groupBy("cfg_pos").agg((F.sum("turnover") * periods / F.count("*")).alias("annual_turnover"), F.avg((F.col("weight") > 0).cast("double")).alias("time_invested"))

@@ -329,6 +329,15 @@ def backtest(spark, d):
     return strategy.run_backtest(_known(spark, d).where("cfg_pos = 0"), _asset(spark, d)).select("date", r6("strategy_ret"), r6("strategy_cum"))
 
 
+@_query(_FEATURES + """, months AS (SELECT DISTINCT date FROM features), c AS (SELECT date, target AS f, target - lag(target, 3) OVER (ORDER BY date) AS c3, target - lag(target, 6) OVER (ORDER BY date) AS c6
+  FROM months LEFT JOIN target USING (date))
+SELECT date, 'cycle_factor' AS feature, round(f, 6) AS value FROM c UNION ALL SELECT date, 'cycle_factor__chg3', round(c3, 6) FROM c UNION ALL SELECT date, 'cycle_factor__chg6', round(c6, 6) FROM c""")
+def cycle_factor_panel(spark, d):
+    """The factor's features, of a factor that SQL can state too."""
+    f = panel.cycle_factor_features(_features(spark, d), base.target(spark, d).select("date", F.col("target").alias("factor")))
+    return f.select("date", "feature", r6("value"))
+
+
 @_query(_BACKTEST + "SELECT cfg_pos, round(sum(turnover) * 12 / count(*), 6) AS annual_turnover, round(avg(CASE WHEN weight > 0 THEN 1.0 ELSE 0.0 END), 6) AS time_invested FROM net GROUP BY cfg_pos")
 def activity(spark, d):
     return strategy.activity(strategy.run_backtest(_known(spark, d), _asset(spark, d))).select("cfg_pos", r6("annual_turnover"), r6("time_invested"))
@@ -449,6 +458,57 @@ def ar_benchmark_oos(spark, d):
     return p.select("date", r6("y_true"), "n_train", r6("pred_ar"))
 
 
+def _nowcast(spark: SparkSession, d: str) -> DataFrame:
+    oos = evaluate.ar_benchmark_oos(_xy(spark, d), horizon=3, min_train=24)
+    weights = strategy.timing_weight(strategy.nowcast_signal(oos, model="pred_ar", min_periods=6)).where("weight is not null")
+    return strategy.run_backtest(weights, _asset(spark, d))
+
+
+# Weights from the forecasts, and of buying and holding, through the same backtest as _BACKTEST's.
+_LIVE = _LINE + """, asset AS (SELECT date, ret FROM rets WHERE cfg_pos = 1),
+zn AS (SELECT date, CASE WHEN count(p) OVER e >= 6 THEN (p - avg(p) OVER e) / nullif(stddev_samp(p) OVER e, 0) END AS s FROM pred WINDOW e AS (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+cf AS (SELECT date, target AS f, target - lag(target, 6) OVER (ORDER BY date) AS c FROM target),
+zf AS (SELECT date, CASE WHEN count(f) OVER e >= 12 THEN (f - avg(f) OVER e) / nullif(stddev_samp(f) OVER e, 0) END AS zl,
+  CASE WHEN count(c) OVER e >= 12 THEN (c - avg(c) OVER e) / nullif(stddev_samp(c) OVER e, 0) END AS zm FROM cf WINDOW e AS (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+want AS (SELECT 'nowcast' AS run, date, greatest(least(0.75 + 0.25 * s, 1.25), 0.0) AS weight, 0.001::DOUBLE AS fee FROM zn WHERE s IS NOT NULL
+  UNION ALL SELECT 'factor', date, greatest(least(0.75 + 0.25 * (0.5 * zl + 0.5 * zm), 1.25), 0.0), 0.001 FROM zf WHERE zl + zm IS NOT NULL
+  UNION ALL SELECT 'hold', date, 1.0, 0.0 FROM asset),
+span AS (SELECT run, any_value(fee) AS fee, min(date) AS a, max(date) AS b FROM want GROUP BY run),
+filled AS (SELECT s.run, s.fee, m.date, last_value(k.weight IGNORE NULLS) OVER (PARTITION BY s.run ORDER BY m.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS weight, a.ret
+  FROM span s JOIN (SELECT date FROM asset UNION SELECT date FROM want) m ON m.date BETWEEN s.a AND s.b LEFT JOIN want k ON k.run = s.run AND k.date = m.date LEFT JOIN asset a ON a.date = m.date),
+held AS (SELECT run, date, ret, fee, lag(weight) OVER w AS h, abs(lag(weight) OVER w - lag(weight, 2) OVER w) AS turnover FROM filled WINDOW w AS (PARTITION BY run ORDER BY date)),
+net AS (SELECT run, date, h * ret - turnover * fee AS r, h FROM held WHERE h * ret - turnover * fee IS NOT NULL),
+common AS (SELECT run, date, r FROM net WHERE date IN (SELECT date FROM net GROUP BY date HAVING count(*) = 3))
+"""
+
+
+@_query(_LIVE + "SELECT date, round(h, 6) AS weight, round(r, 6) AS strategy_ret FROM net WHERE run = 'nowcast'")
+def nowcast_timing(spark, d):
+    return _nowcast(spark, d).select("date", r6("weight"), r6("strategy_ret"))
+
+
+@_query(_LIVE + """, curve AS (SELECT *, product(1 + r) OVER (PARTITION BY run ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM common),
+drop_ AS (SELECT *, cum / max(cum) OVER (PARTITION BY run ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS dd FROM curve)
+SELECT run, count(*) AS months, round(power(product(1 + r), 12.0 / count(*)) - 1, 6) AS ann_return, round(stddev_samp(r) * sqrt(12), 6) AS ann_vol, round(avg(r) / stddev_samp(r) * sqrt(12), 6) AS sharpe,
+  round(min(dd), 6) AS max_drawdown, round(avg(CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END), 6) AS hit_rate FROM drop_ GROUP BY run""")
+def realtime_compare(spark, d):
+    """Timing by the factor, by the forecasts, and holding, in the months that all three have."""
+    asset = _asset(spark, d)
+    hold = strategy.run_backtest(strategy.buy_and_hold(asset), asset, cost_bps=0.0)
+    runs = strategy.on_common_dates({"factor": strategy.run_backtest(_known(spark, d).where("cfg_pos = 0"), asset), "nowcast": _nowcast(spark, d), "hold": hold})
+    s = strategy.perf_stats(runs, "run")
+    return s.select("run", "months", *[r6(c) for c in ("ann_return", "ann_vol", "sharpe", "max_drawdown", "hit_rate")])
+
+
+@_query(_LINE + """SELECT count(*) AS months, round(corr(a, b), 6) AS corr FROM (SELECT t.date, t.target AS a, s.m AS b FROM target t JOIN smooth s USING (date)) WHERE a IS NOT NULL AND b IS NOT NULL""")
+def factor_comparison(spark, d):
+    """Two estimates on their common months; here series that SQL can state."""
+    x = grid.densify(base.total(spark, d).select("series", "date", "value"))
+    level = x.select("date", tr.moving_average("value", tr.series_window("series"), 3).alias("factor"))
+    c = factor.compare_factors(base.target(spark, d).select("date", F.col("target").alias("factor")), level)
+    return c.select("months", r6("corr"))
+
+
 @_query(_LINE + """, o AS (SELECT date, y_true, p AS pred_ar, 0.5 * p AS pred_half, lag(y_true) OVER (ORDER BY date) AS b FROM pred),
 q AS (SELECT quantile_cont(abs(y_true - b), 0.67) AS c FROM o),
 long AS (SELECT 'ar' AS model, y_true, pred_ar AS p, b FROM o UNION ALL SELECT 'half', y_true, pred_half, b FROM o),
@@ -495,11 +555,27 @@ def gbt_oos(spark, d):
     return _oos(spark, d, {"gbt": models.boosted_trees(rounds=300)})
 
 
-def _oos(spark: SparkSession, d: str, some: dict) -> DataFrame:
+@_query()
+def gbt_importance(spark, d):
+    """The twenty features that the trees gain most from, with their share of all gains."""
+    return evaluate.importance(models.tree_gains(_wide(spark, d)))
+
+
+def _wide(spark: SparkSession, d: str) -> DataFrame:
     s = panel.make_supervised(_features(spark, d), base.target(spark, d), 3)
     names = [r[0] for r in s.features.select("feature").distinct().orderBy("feature").collect()]  # the model's columns
-    wide = asof.wide(s.features, names, index="date", name="feature").join(s.target, "date")
-    return evaluate.walk_forward(wide, some, horizon=3, min_train=24)
+    return asof.wide(s.features, names, index="date", name="feature").join(s.target, "date")
+
+
+def _oos(spark: SparkSession, d: str, some: dict) -> DataFrame:
+    return evaluate.walk_forward(_wide(spark, d), some, horizon=3, min_train=24)
+
+
+@_query()
+def factor_panel(spark, d):
+    """The panel with the factor as it was known at the time."""
+    f = _features(spark, d)
+    return panel.cycle_factor_features(f, dfm_factor_pit(spark, d)).unionByName(f)
 
 
 # Dating
