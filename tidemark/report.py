@@ -60,6 +60,31 @@ def line_chart(values: list[float | None], width: int = 720, height: int = 160)
     return f'<svg viewBox="0 0 {width} {height}" role="img">{lines}</svg>'
 
 
+def drawdown_chart(growth: list[float]) -> str:
+    """A curve of growth and, below it, how far it stands under its highest point so far."""
+    falls, top = [], 0.0
+    for v in growth:
+        top = max(top, v)
+        falls.append(v / top - 1 if top else None)
+    return line_chart(growth) + line_chart(falls, height=80)
+
+
+def stat_card(row: Row | None) -> str:
+    """The main measures of one run as a list."""
+    names = {"ann_return": "Return a year", "ann_vol": "Volatility", "max_drawdown": "Largest drawdown", "hit_rate": "Months won"}
+    if row is None:
+        return ""
+    items = [(label, _pct(row[k])) for k, label in names.items()] + [("Sharpe", _num(row["sharpe"])), ("Calmar", _num(row["calmar"])), ("Months", str(row["months"]))]
+    return "<dl>" + "".join(f"<dt>{escape(k)}</dt><dd>{escape(v)}</dd>" for k, v in items) + "</dl>"
+
+
+def prediction_charts(oos: DataFrame) -> str:
+    """Outcome and each model's predictions, one line below the other."""
+    rows = oos.orderBy("date").collect()  # one row a month
+    charts = [("outcome", [r["y_true"] for r in rows])] + [(c.removeprefix("pred_"), [r[c] for r in rows]) for c in oos.columns if c.startswith("pred_")]
+    return "".join(f"<h3>{escape(name)}</h3>{line_chart(values)}" for name, values in charts)
+
+
 def dashboard(title: str, sections: dict[str, str]) -> str:
     """A page that needs nothing from elsewhere; an empty section says so."""
     style = "body{font:15px sans-serif;max-width:60em;margin:2em auto}table{border-collapse:collapse}td,th{padding:.2em .6em;border-bottom:1px solid #ccc;text-align:right}"
