@@ -105,6 +105,47 @@ def test_every_labelled_language_is_learned(spark):
     assert all(r["lang"] == r["lang_pred"] for r in got)
 
 
+def test_repeats_of_a_row_crowd_out_nothing(spark):
+    texts = [f"eine Zeile Nummer {i} auf deutsch" for i in range(40)]
+    rows = [(texts[0], "de")] * 5000 + [(t, "de") for t in texts] + [(f"une ligne {i}", "fr") for i in range(3)] + [("x" * 40_000, "xx")]
+    got = language.training_sample(spark.createDataFrame(rows, "text string, lang string"), docs_per_lang=30)
+    assert {k: len(v) for k, v in got.items()} == {"de": 30, "fr": 3, "xx": 1} and len(set(got["de"])) == 30
+
+
+def test_code_lengths_equal_brute_force():
+    """Prediction by partial matching with full exclusion, one byte and one context at a time."""
+    samples = {"a": [b"abracadabra abra", b"cab"], "b": [b"banana bandana", b"nab ban"]}
+    order = 2
+    model = language.fit(samples, order)
+
+    def counts(lang):
+        seen = {}
+        for t in samples[lang]:
+            padded = b"\n" * order + t
+            for i in range(order, len(padded)):
+                for d in range(order + 1):
+                    c = seen.setdefault(padded[i - d : i], {})
+                    c[padded[i]] = c.get(padded[i], 0) + 1
+        return seen
+
+    def p(seen, context, byte):
+        below = p(seen, context[1:], byte) if context else 1 / 256
+        here = seen.get(context)
+        if not here:
+            return below
+        total, kinds = sum(here.values()), len(here)
+        if byte in here:
+            return here[byte] / (total + kinds)
+        free = 1 - sum(p(seen, context[1:], x) if context else 1 / 256 for x in here)
+        return kinds / (total + kinds) * below / free
+
+    text = b"a banana cab"
+    for i, lang in enumerate(model.langs):
+        seen, padded = counts(lang), b"\n" * order + text
+        bits = -sum(np.log2(p(seen, padded[k - order : k], padded[k])) for k in range(order, len(padded)))
+        assert abs(model.lengths([text])[0, i] / language.UNIT - bits) < 0.01 * len(text)
+
+
 def test_held_out_is_the_crc(spark):
     got = spark.range(40).select(F.col("id").alias("doc_id")).select("doc_id", language.held_out().alias("h")).collect()
     assert all(r["h"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got)

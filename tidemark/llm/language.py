@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import map_batches, text_key
+from ._common import map_batches
 
 UNIT = 1024
 _LETTER = regex.compile(r"\p{L}")
@@ -168,27 +168,25 @@ def fit(samples: dict[str, list[bytes]], order: int = 4) -> Model:
 
 
 def training_sample(docs: DataFrame, *, docs_per_lang: int = 300, max_bytes: int = 16_384, full_langs: int = 64) -> dict[str, list[bytes]]:
-    """A bounded sample of the labelled rows of ``docs`` (doc_id, text, lang), drawn by a hash of doc_id.
+    """A bounded sample of the labelled rows of ``docs`` (text, lang), drawn by a hash of the text.
 
-    Every labelled language is learned, from at most ``docs_per_lang`` texts; with more than ``full_langs`` languages from
+    Every labelled language is learned, from at most ``docs_per_lang`` different texts; with more than ``full_langs`` languages from
     fewer, at least one, so that n-grams times languages stay bounded.  Texts of at most ``max_bytes`` bytes come first;
     of longer ones, where those are too few, the first ``max_bytes`` bytes are used.  The per-language limit is applied
     in every task before anything is shuffled.
     """
-    key = text_key(F.col("doc_id"), F.col("text"))
-    rows = docs.select("doc_id", "text", "lang", key.alias("key")).where("text is not null and lang is not null and octet_length(text) > 0")
+    rows = docs.select("text", "lang").where("text is not null and lang is not null and octet_length(text) > 0")
     n_langs = max(1, rows.select("lang").distinct().count())
     most = docs_per_lang if n_langs <= full_langs else max(1, docs_per_lang * full_langs**2 // n_langs**2)
-    first = Window.partitionBy("lang").orderBy("long", F.xxhash64("doc_id"), "doc_id", "key")
-    ranked = rows.select("lang", "doc_id", "key", (F.octet_length("text") > max_bytes).alias("long")).withColumn("k", F.row_number().over(first))
-    wanted = sorted({r["key"] for r in ranked.where(F.col("k") <= most).select("key").collect()})
-    part = F.substring(F.col("text").cast("binary"), 1, max_bytes).alias("part")
-    out: dict[str, list[bytes]] = {}
-    chosen = rows.where(F.col("key").isin(wanted)).select("lang", "doc_id", "key", part).dropDuplicates(["lang", "key"])
-    for r in chosen.orderBy("lang", "doc_id", "key").collect():
-        if len(mine := out.setdefault(r["lang"], [])) < most:
-            mine.append(bytes(r["part"]))
-    return out
+    # Equal texts are one before they are ranked; only as much of a text as is used leaves its task.
+    part = F.substring(F.col("text").cast("binary"), 1, max_bytes)
+    kinds = rows.select("lang", F.xxhash64("text").alias("h"), (F.octet_length("text") > max_bytes).alias("long")).distinct()
+    ranked = kinds.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("long", F.xxhash64("h"), "h"))).where(F.col("k") <= most)
+    wanted = rows.select("lang", F.xxhash64("text").alias("h"), part.alias("part")).join(F.broadcast(ranked.select("lang", "h")), ["lang", "h"])  # docs_per_lang * full_langs rows at most
+    out: dict[str, dict[int, bytes]] = {}
+    for r in wanted.dropDuplicates(["lang", "h"]).collect():
+        out.setdefault(r["lang"], {})[r["h"]] = bytes(r["part"])
+    return {lang: [texts[h] for h in sorted(texts)] for lang, texts in out.items()}
 
 
 def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
