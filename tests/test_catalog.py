@@ -1,5 +1,9 @@
 """Every registered query with SQL gives DuckDB's rows; every other one runs."""
 
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 
 import __spark_entry__ as entry
@@ -48,3 +52,13 @@ def test_entry_and_names():
 def test_flagship(spark):
     df = entry.entry(spark)
     assert df.columns == ["asof_date", "series", "value", "yoy", "z"] and df.count() > 0
+
+
+def test_only_the_missing_part_is_left_out(tmp_path):
+    """Without the corpus operators the entry works; without something that they need it fails."""
+    root = Path(entry.__file__).parent
+    code = "import sys; sys.modules[{!r}] = None; import __spark_entry__ as e; print(len(e.queries()))"
+    run = lambda name: subprocess.run([sys.executable, "-c", code.format(name)], cwd=root, capture_output=True, text=True)
+    assert int(run("tidemark.llm").stdout) == len(QUERIES)
+    if (root / "tidemark" / "llm").exists():
+        assert "regex" in run("regex").stderr and run("regex").returncode

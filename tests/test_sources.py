@@ -1,5 +1,7 @@
 import datetime as dt
+import http.server
 import io
+import threading
 import zipfile
 
 import numpy as np
@@ -7,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import report
-from tidemark.sources import store, tidy, workbook
+from tidemark.sources import fetch, store, tidy, workbook
 
 
 def test_region_names(spark):
@@ -32,6 +34,8 @@ def test_workbook_to_tidy(spark, tmp_path):
     xlsx(tmp_path / "b.xlsx")
     workbook.register(spark)
     grid = spark.read.format("workbook").option("sheet", "Monthly Data").load(str(tmp_path / "b.xlsx"))
+    again = workbook.read_sheet(spark, str(tmp_path / "b.xlsx"))
+    assert again.columns == grid.columns and sorted(map(str, again.collect())) == sorted(map(str, grid.collect()))
     x = tidy.load_billings(grid, through="2020-06-30").orderBy("date").collect()
     assert len(x) == 18 and x[0]["value"] == 1.0 and x[-1]["value"] == 12.0 and x[0]["series"] == "wsts_worldwide"
     assert x[0]["published"] == dt.datetime(2019, 3, 7)
@@ -55,6 +59,41 @@ def test_csv_and_prices(spark, tmp_path):
     assert sorted((r["series"], r["date"].month, r["value"]) for r in tidy.load_prices(d).collect()) == [("px_QQQ", 1, 5.0), ("px_QQQ", 2, 6.0), ("px_SOX", 1, 2.0)]
 
 
+def test_price_scan(spark, tmp_path):
+    (tmp_path / "p.csv").write_text("Day,^SOX,QQQ\n2020-01-02,1.5,\n2020-01-30,2.5,x\n2020-02-03,,7\nbad,9,9\n")
+    got = sorted((r["series"], r["date"], r["value"]) for r in tidy.read_prices(spark, str(tmp_path / "p.csv")).collect())
+    assert got == [("px_QQQ", dt.date(2020, 2, 29), 7.0), ("px_SOX", dt.date(2020, 1, 31), 2.5)]
+
+
+def test_fetch_tries_again(spark):
+    asked = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            asked.append(self.path)
+            ok = self.path != "/gone" and (self.path != "/late" or asked.count(self.path) > 2)
+            self.send_response(200 if ok else 404 if self.path == "/gone" else 503)
+            self.end_headers()
+            self.wfile.write(b"body of " + self.path.encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{server.server_port}"
+    fetch.register(spark)
+    rows = spark.read.format("web").option("urls", f"{at}/late {at}/now").option("wait", "0.01").load().collect()
+    assert {(r["url"], bytes(r["body"])) for r in rows} == {(f"{at}/late", b"body of /late"), (f"{at}/now", b"body of /now")} and asked.count("/late") == 3
+    pauses = []
+    with pytest.raises(ConnectionError, match="404"):
+        fetch.fetch(f"{at}/gone", sleep=pauses.append)
+    with pytest.raises(ConnectionError):
+        fetch.fetch("http://127.0.0.1:1/", sleep=pauses.append, timeout=1)
+    assert asked.count("/gone") == 1 and pauses == [1.5, 3.0]
+    server.shutdown()
+
+
 def test_best_effort_and_implausible(spark):
     noise = np.random.default_rng(0).uniform(-1, 1, 60)
     ok = spark.createDataFrame([(dt.date(2000 + i // 12, i % 12 + 1, 28), "s", 100.0 + float(noise[i]) + (5000 if i == 58 else 0), None) for i in range(60)], tidy.SCHEMA)

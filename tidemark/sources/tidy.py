@@ -148,3 +148,11 @@ def load_prices(daily: DataFrame) -> DataFrame:
     long = daily.select("date", F.inline(pairs)).where("close is not null")
     month = long.groupBy("ticker", F.last_day("date").alias("month")).agg(F.max_by("close", "date").alias("value"))
     return tidy(month, date=F.col("month"), series=F.concat(F.lit("px_"), F.regexp_replace("ticker", r"^\^", "")), value=F.col("value"), published=F.col("month"))
+
+
+def read_prices(spark: SparkSession, path: str) -> DataFrame:
+    """Tidy month-end prices of a CSV file of daily closes, the day in its first column and one ticker in each other."""
+    x = spark.read.csv(path, header=True, inferSchema=False)
+    day, *tickers = x.columns
+    closes = [F.expr(f"try_cast(`{t}` as double)").alias(t) for t in tickers]
+    return load_prices(x.select(F.expr(f"try_cast(`{day}` as date)").alias("date"), *closes).where("date is not null"))
