@@ -483,6 +483,47 @@ def test_resample_and_segments():
     assert audio.segments(np.array([0, 0, 4, 7, 4, 0, 4, 4, 0, 0.0])) == [(2, 5)]
 
 
+def test_features_equal_brute_force(spark, tmp_path):
+    """The whole feature of a text from the definitions, in double precision and with plain loops."""
+    text = "".join("~" if i // 900 % 2 else chr(32 + i * i // 7 % 90) for i in range(6000))  # loud and quiet by turns
+    n, payload = audio.pack_text(text)
+    x = (np.frombuffer(payload, np.uint8).astype(float) - 128) / 128
+    h = audio._sinc(1, 2).astype(float)
+    y = np.convolve(x, h)[len(h) // 2 : len(h) // 2 + len(x)][::2]
+    starts = range(0, len(y) - audio.FRAME + 1, audio.HOP)
+    hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(audio.FRAME) / (audio.FRAME - 1))
+    wave = np.exp(-2j * np.pi * np.outer(np.arange(audio.FRAME), np.arange(audio.N_FFT // 2 + 1)) / audio.N_FFT)
+    hz = lambda m: 700 * (10 ** (m / 2595) - 1)
+    top = 2595 * np.log10(1 + audio.RATE_OUT / 2 / 700)
+    edges = [hz(top * i / (audio.MELS + 1)) for i in range(audio.MELS + 2)]
+    bins = [audio.RATE_OUT / 2 * k / (audio.N_FFT // 2) for k in range(audio.N_FFT // 2 + 1)]
+    mel, db = [], []
+    for a in starts:
+        frame = y[a : a + audio.FRAME] * hann
+        power = np.abs(frame @ wave) ** 2
+        mel.append([np.log(sum(p * max(0, min((f - lo) / (mid - lo), (hi - f) / (hi - mid))) for f, p in zip(bins, power, strict=True)) + 1e-6) for lo, mid, hi in zip(edges, edges[1:], edges[2:], strict=False)])
+        db.append(10 * np.log10((frame**2).mean() + 1e-9))
+    floor = np.percentile(db, 10)
+    runs, run = [], []
+    for i, v in enumerate([*db, -1e9]):
+        if v > floor + audio.LOW_DB:
+            run.append(i)
+        else:
+            if any(db[j] > floor + audio.HIGH_DB for j in run):
+                runs.append((run[0] * audio.HOP / audio.RATE_OUT, (run[-1] * audio.HOP + audio.FRAME) / audio.RATE_OUT))
+            run = []
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    r = audio.media_columns(df).first()
+    spans, tensors = audio.read_tensors(bytes(r["tensors"]))
+    got = tensors.reshape(-1, audio.MELS)
+    assert r["n_frames"] == len(mel) and np.abs(got[: len(mel)].astype(float) - mel).max() < 0.02 and not got[len(mel) :].any()
+    assert [tuple(s) for s in r["segments"]] == pytest.approx(runs) and len(runs) > 0
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    q = queries.op8_audio_features(spark, str(tmp_path)).first()
+    said = ",".join(f"{a:.3f}-{b:.3f}" for a, b in runs)
+    assert q["feature"] == f"frames={len(mel)};log_mel={hashlib.sha256(bytes(r['tensors'])).hexdigest()};spans={said}" and q["media_bytes"] == 44 + len(payload)
+
+
 # 9. Quality
 
 
