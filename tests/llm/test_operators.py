@@ -517,7 +517,7 @@ def test_features_equal_brute_force(spark, tmp_path):
     spans, tensors = audio.read_tensors(bytes(r["tensors"]))
     got = tensors.reshape(-1, audio.MELS)
     assert r["n_frames"] == len(mel) and np.abs(got[: len(mel)].astype(float) - mel).max() < 0.02 and not got[len(mel) :].any()
-    assert [tuple(s) for s in r["segments"]] == pytest.approx(runs) and len(runs) > 0
+    assert len(r["segments"]) == len(runs) > 0 and np.allclose([tuple(s) for s in r["segments"]], runs)
     df.write.parquet(f"{tmp_path}/documents.parquet")
     q = queries.op8_audio_features(spark, str(tmp_path)).first()
     said = ",".join(f"{a:.3f}-{b:.3f}" for a, b in runs)
