@@ -104,3 +104,22 @@ def test_scoreboard(spark):
     assert s["x"]["MAE_turns"] == pytest.approx(np.abs(y - b)[turn].mean())
     side = np.sign(y[1:] - y[:-1]) == np.sign(a[1:] - y[:-1])
     assert s["ar_benchmark"]["turn_acc"] == pytest.approx(side.mean()) and s["ar_benchmark"]["turn_acc_turns"] == pytest.approx(side[turn[1:]].mean())
+
+
+@pytest.mark.parametrize("noise", [0.01, 0.001])
+def test_a_factor_with_an_outlier_at_the_end_does_not_explode(noise):
+    """Growth of monthly sums whose last month has one day: the start's autoregression had roots beyond the unit circle."""
+    for seed in range(6):
+        g = np.random.default_rng(seed)
+        days = np.append(np.tile([31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31], 7)[:79], 1)
+        sums = days[:, None] * (1 + noise * g.standard_normal((80, 5)))
+        x = sums[12:] / sums[:-12] - 1
+        model = factor.fit_factor(x)
+        f = model.smooth(model.standardised(x))[0][:, 0]
+        assert np.isfinite(f).all() and np.abs(np.roots(np.r_[1, -model.ar])).max() < 1
+        assert abs(np.corrcoef(f, x.mean(1))[0, 1]) > 0.99
+
+
+def test_roots_are_drawn_in_only_where_they_are_too_long():
+    assert (factor.stable(np.array([0.5, 0.3])) == [0.5, 0.3]).all() and (factor.stable(np.zeros(2)) == 0).all()
+    assert np.abs(np.roots(np.r_[1, -factor.stable(np.array([-0.7, 0.9]))])).max() == pytest.approx(0.98)

@@ -84,6 +84,15 @@ class FactorModel:
         return a, c, lag, like
 
 
+def stable(ar: np.ndarray, most: float = 0.98) -> np.ndarray:
+    """``ar`` with all its roots drawn in, by one factor, until none is longer than ``most``.
+
+    A factor that explodes has no stationary spread to start the filter from.
+    """
+    longest = np.abs(np.roots(np.r_[1, -ar])).max(initial=0.0)
+    return ar * min(1.0, most / max(longest, 1e-9)) ** np.arange(1, len(ar) + 1)
+
+
 def fit_factor(x: np.ndarray, *, order: int = 2, iterations: int = 60, tolerance: float = 1e-5) -> FactorModel:
     """Fit to ``x`` (months x series, NaN for missing); starts from the first principal component."""
     mean, scale = np.nanmean(x, 0), np.nanstd(x, 0, ddof=1)
@@ -97,7 +106,7 @@ def fit_factor(x: np.ndarray, *, order: int = 2, iterations: int = 60, tolerance
     lagged = np.stack([f[order - 1 - k : len(f) - 1 - k] for k in range(order)], 1)
     ar = np.linalg.lstsq(lagged, f[order:], rcond=None)[0]
     error = full - np.outer(f, loadings)
-    model = FactorModel(mean, scale, loadings, ar * min(1.0, 0.98 / max(1e-9, np.abs(np.roots(np.r_[1, -ar])).max())), 0.3, np.full(z.shape[1], 0.3), error.var(0) * 0.9 + 1e-3, [])
+    model = FactorModel(mean, scale, loadings, stable(ar), 0.3, np.full(z.shape[1], 0.3), error.var(0) * 0.9 + 1e-3, [])
     p, t = order, len(z)
     seen = ~np.isnan(z)
     for _ in range(iterations):
@@ -108,8 +117,8 @@ def fit_factor(x: np.ndarray, *, order: int = 2, iterations: int = 60, tolerance
         second = c + a[:, :, None] * a[:, None, :]
         cross = lag[1:] + a[1:, :, None] * a[:-1, None, :]
         now, past, both = second[1:].sum(0), second[:-1].sum(0), cross.sum(0)
-        ar = np.linalg.solve(past[:p, :p], both[0, :p])
-        noise = max(1e-6, (now[0, 0] - ar @ both[0, :p]) / (t - 1))
+        ar = stable(np.linalg.solve(past[:p, :p], both[0, :p]), 0.999)
+        noise = max(1e-6, (now[0, 0] - 2 * ar @ both[0, :p] + ar @ past[:p, :p] @ ar) / (t - 1))
         own = np.arange(p, p + z.shape[1])
         rho = np.clip(both[own, own] / past[own, own], -0.99, 0.99)
         rho_noise = np.maximum(1e-6, (now[own, own] - rho * both[own, own]) / (t - 1))
