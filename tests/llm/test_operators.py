@@ -383,6 +383,15 @@ def test_lines_lose_marks_and_blanks_anywhere(spark):
     assert {r["doc_id"]: r["n_removed"] for r in got.collect()} == {0: 0, 1: 1, 2: 1, 3: 1, 4: 0, 5: 1}
 
 
+def test_word_ranks_count_all_lines(spark):
+    texts = [(i, f"ein{i} zwei{i} und drei{i % 5} oder\nund noch eine Zeile {i}") for i in range(40)]
+    lines = fuzzy_lines.lines_of(spark.createDataFrame(texts, "doc_id long, text string").repartition(3))
+    rank, common = fuzzy_lines._ranks(lines)
+    found, n = np.unique(np.concatenate([np.frombuffer(r["w"], "<u2") for r in lines.select("w").collect()]), return_counts=True)
+    assert {int(c): int(rank[c]) for c in np.flatnonzero(rank)} == {int(c): int(8 * np.log2(1 + k)) for c, k in zip(found, n, strict=True)}
+    assert common == int(8 * np.log2(1 + 80 / fuzzy_lines.COMMON))
+
+
 def test_op6_drops_a_line_with_one_changed_word(spark, tmp_path):
     base = [f"w{i}" for i in range(10)]
     spark.createDataFrame([(1, " ".join(base)), (2, " ".join(["other", *base[1:]]))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
