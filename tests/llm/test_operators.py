@@ -392,6 +392,17 @@ def test_word_ranks_count_all_lines(spark):
     assert common == int(8 * np.log2(1 + 80 / fuzzy_lines.COMMON))
 
 
+def test_long_lines_of_repeated_words_are_close_only_if_similar(spark):
+    """Runs of a few words: their mere parities, or 256 classes for hundreds of words, tell nothing."""
+    runs = [" ".join(f"{w} " * 55 for w in ["the", *[f"r{i}x{j}" for j in range(7)]]) for i in range(6)]
+    mixed = [" ".join(f"m{i}x{j}" for j in range(400 + 600 * (i % 2))) for i in range(6)]
+    similar = [" ".join("new" if j % 5 == 4 else w for j, w in enumerate(t.split())) for t in (runs[0], mixed[0], mixed[1])]
+    texts = list(enumerate([*runs, *mixed, *similar]))
+    lines = fuzzy_lines.lines_of(spark.createDataFrame(texts, "doc_id long, text string"))
+    close = lines.alias("a").join(lines.alias("b"), fuzzy_lines._close(80)).selectExpr("a.did as a", "b.did as b").where("a < b")
+    assert sorted((r["a"], r["b"]) for r in close.collect()) == [(0, 12), (6, 13), (7, 14)]
+
+
 def test_op6_drops_a_line_with_one_changed_word(spark, tmp_path):
     base = [f"w{i}" for i in range(10)]
     spark.createDataFrame([(1, " ".join(base)), (2, " ".join(["other", *base[1:]]))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
