@@ -452,6 +452,22 @@ def test_jaccard_components_equal_brute_force(spark, region_shingles):
     assert got == {i: (len(s), find(i)) for i, s in sets.items()} and len({c for _, c in got.values()}) < 100
 
 
+def test_jaccard_common_shingles_are_found_in_any_number_of_documents(spark, monkeypatch):
+    """A passage in a twentieth of the documents brought all of these together, from a few thousand documents on."""
+    monkeypatch.setattr(jaccard_join, "SAMPLE_DOCS", 10)
+    passage = " ".join(f"p{j}" for j in range(30))
+    texts = [(i, " ".join(f"d{i}x{j}" for j in range(30)) + (" " + passage if i % 20 == 0 else "")) for i in range(3200)]
+    common = jaccard_join._common_shingles(spark.createDataFrame(texts, "doc_id long, text string"), 5)
+    found = set(np.concatenate(common[:1]).tolist())
+    assert found == set(shingles.shingle_sets([passage.encode()], 5)[0].tolist())
+
+
+def test_jaccard_commonest_shingles_stand_last():
+    s = np.arange(1, 11, dtype=np.uint64)
+    common, rank = np.array([2, 4, 6], np.uint64), np.array([30, 10, 20], np.uint8)
+    assert jaccard_join.ordered_prefix(s, common, rank, 0, 100).tolist() == [1, 3, 5, 7, 8, 9, 10, 4, 6, 2]
+
+
 def test_jaccard_odd_rows(odd, none):
     got = jaccard_join.components_by_jaccard(odd).collect()
     assert len(got) == 11 and [r["component_id"] for r in got if r["doc_id"] == 2] == [1, 1] and {r["component_id"] for r in got if r["doc_id"] is None} == {None}
