@@ -403,6 +403,30 @@ def test_long_lines_of_repeated_words_are_close_only_if_similar(spark):
     assert sorted((r["a"], r["b"]) for r in close.collect()) == [(0, 12), (6, 13), (7, 14)]
 
 
+def test_lines_nearly_similar_meet_once_though_they_share_dozens_of_blocks(spark, monkeypatch):
+    g = np.random.default_rng(5)
+    texts = []
+    for i in range(10):
+        words = [f"w{j}" for j in range(150)]
+        for j in g.choice(150, 20, replace=False):
+            words[j] = f"v{i}x{j}"
+        texts.append((i, " ".join(words)))
+    docs, met = spark.createDataFrame(texts, "doc_id long, text string"), []
+    pairs = fuzzy_lines._pairs_met
+
+    def counted(x, percent):
+        out = pairs(x, percent)
+        met.append((out.count(), out.select(F.least("a.h", "b.h"), F.greatest("a.h", "b.h")).distinct().count()))
+        return out
+
+    monkeypatch.setattr(fuzzy_lines, "_pairs_met", counted)
+    now = sorted((r["doc_id"], r["n_removed"]) for r in fuzzy_lines.dedup_lines(docs).collect())
+    monkeypatch.setattr(fuzzy_lines, "FIRST", 1 << 20)  # no line remembers its blocks
+    assert sorted((r["doc_id"], r["n_removed"]) for r in fuzzy_lines.dedup_lines(docs).collect()) == now
+    (rows, different), (all_rows, same) = met
+    assert different == same > 10 and rows <= 2 * different and all_rows > 10 * different
+
+
 def test_op6_drops_a_line_with_one_changed_word(spark, tmp_path):
     base = [f"w{i}" for i in range(10)]
     spark.createDataFrame([(1, " ".join(base)), (2, " ".join(["other", *base[1:]]))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
