@@ -403,6 +403,15 @@ def test_long_lines_of_repeated_words_are_close_only_if_similar(spark):
     assert sorted((r["a"], r["b"]) for r in close.collect()) == [(0, 12), (6, 13), (7, 14)]
 
 
+def test_lines_of_other_lengths_are_close_only_with_fewer_replaced_words(spark):
+    """Of 20 edits of 100 words 16 leave words out: 4 replaced ones are left, and 24 parities that can change."""
+    words = [f"w{j}" for j in range(100)]
+    shorter, other = words[:80], [*words[:74], *[f"v{j}" for j in range(10)]]
+    lines = fuzzy_lines.lines_of(spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate([words, shorter, other])], "doc_id long, text string"))
+    close = lines.alias("a").join(lines.alias("b"), fuzzy_lines._close(80)).selectExpr("a.did as a", "b.did as b").where("a = 0 and b > 0")
+    assert [(r["a"], r["b"]) for r in close.collect()] == [(0, 1)]
+
+
 def test_lines_nearly_similar_meet_once_though_they_share_dozens_of_blocks(spark, monkeypatch):
     g = np.random.default_rng(5)
     texts = []
