@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from brute import roots
 from helpers import duck, rows
-from tidemark.llm import audio, bpe, exact_substrings, fuzzy_lines, hamming_search, html_text, jaccard_join, language, mixing, quality, queries, shingles
+from tidemark.llm import _common, audio, bpe, exact_substrings, fuzzy_lines, hamming_search, html_text, jaccard_join, language, mixing, quality, queries, shingles
 from tidemark.llm._common import components, squeeze
 
 LAST = (1 << 63) - 1
@@ -514,6 +514,21 @@ def test_components_of_a_long_path_and_a_star(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_few_edges_are_connected_by_the_driver_in_two_jobs(spark, monkeypatch):
+    """The rest of the jobs make the edges; each round of the tables takes several, and memory of the driver."""
+    g = np.random.default_rng(7)
+    edges = spark.createDataFrame([(int(a), int(b)) for a, b in g.integers(-90, 90, (80, 2))] + [(i, i + 1) for i in range(100, 140)], "a long, b long")
+    found, jobs = [], []
+    for few in (_common.EDGES, 0):
+        monkeypatch.setattr(_common, "EDGES", few)
+        spark.sparkContext.setJobGroup(f"edges{few}", "")
+        found.append({r["node"]: r["root"] for r in components(edges).collect()})
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"edges{few}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert found[0] == found[1] and len(set(found[0].values())) > 5 and found[0][140] == 100
+    assert jobs[0] <= 8 and jobs[1] > 3 * jobs[0]
+
+
 def test_squeeze_round_trip(odd, none):
     packed = squeeze(odd.select("doc_id", "text", "lang"), "text")
     assert dict(packed.dtypes)["text"] == "binary"
